@@ -84,6 +84,10 @@ def export_path(thread_id: Column, date: Column, suffix: str) -> Column:
     return F.concat_ws("/", thread_id.cast("string"), F.concat(week_bucket(date), F.lit(suffix)))
 
 
+#: Letters and marks that leave no ink, beside white space, control and format characters.
+BLANKS = r"\u115F\u1160\u3164\uFFA0\u2800\u034F\uFE00-\uFE0F"
+
+
 def has_visible(value: Column) -> Column:
-    """True if the string has a character that leaves ink: no white space, control, format or filler character."""
-    return F.coalesce(value.rlike(r"[^\s\p{Z}\p{C}ᅟᅠㅤﾠ⠀͏︀-️]"), F.lit(False))
+    """True if the string has a character that leaves ink; null has none."""
+    return F.coalesce(value.rlike(rf"[^\s\p{{Z}}\p{{Cc}}\p{{Cf}}{BLANKS}]"), F.lit(False))
