@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatloom.llm import conversations, lookalikes
+from chatloom.llm import conversations, langid, lookalikes
 from chatloom.sources.files import table
 
 
@@ -38,8 +38,22 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.with_canonical(lookalikes.names_of(table(spark, d, "chat_state")), "value", "form")
 
 
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "text_records")
+    return langid.label_sentences(records, "record_id", "text", langid.fit(records, "record_id", "text", "lang"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    languages = langid.document_languages(_sentences(spark, d), "record_id")
+    return langid.missing_or_wrong(table(spark, d, "text_records"), "record_id", "lang", languages)
+
+
+def p3_stretches(spark: SparkSession, d: str) -> DataFrame:
+    return langid.stretches(_sentences(spark, d), "record_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_conversations, p1_sessions, p2_found, p2_forms)
+    named = (p1_found, p1_conversations, p1_sessions, p2_found, p2_forms, p3_found, p3_stretches)
     return {f.__name__: f for f in named}
 
 
