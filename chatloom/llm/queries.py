@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatloom.llm import conversations, langid, lookalikes
+from chatloom.llm import conversations, langid, leakage, lookalikes, pii
 from chatloom.sources.files import table
 
 
@@ -52,8 +52,28 @@ def p3_stretches(spark: SparkSession, d: str) -> DataFrame:
     return langid.stretches(_sentences(spark, d), "record_id")
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "text_records"), "record_id", "text").select("record_id", "line_no", "kind").distinct()
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "text_records"), "record_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    spans = leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+    return spans.select("doc_id", "item_id").distinct()
+
+
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (p1_found, p1_conversations, p1_sessions, p2_found, p2_forms, p3_found, p3_stretches)
+    named = (
+        p1_found, p1_conversations, p1_sessions, p2_found, p2_forms, p3_found, p3_stretches, p6_found, p6_redacted,
+        p8_found, p8_spans,
+    )
     return {f.__name__: f for f in named}
 
 
