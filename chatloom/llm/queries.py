@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatloom.llm import conversations, langid, leakage, lookalikes, pii
+from chatloom.llm import conversations, langid, leakage, lookalikes, packing, pii
 from chatloom.sources.files import table
 
 
@@ -60,6 +60,14 @@ def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(table(spark, d, "text_records"), "record_id", "text")
 
 
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(packing.pack(table(spark, d, "documents"), "doc_id", "text"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     spans = leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
     return spans.select("doc_id", "item_id").distinct()
@@ -72,7 +80,7 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         p1_found, p1_conversations, p1_sessions, p2_found, p2_forms, p3_found, p3_stretches, p6_found, p6_redacted,
-        p8_found, p8_spans,
+        p7_packed, p7_fill, p8_found, p8_spans,
     )
     return {f.__name__: f for f in named}
 
