@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chatloom.llm import conversations, langid, leakage, lookalikes, packing, pii
+from chatloom.llm import conversations, langid, leakage, lookalikes, moderation, packing, pii
 from chatloom.sources.files import table
 
 
@@ -77,10 +77,27 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return moderation.score(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "moderation_labels"), ("source",))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return moderation.flagged(_scored(spark, d), "doc_id").select("doc_id", "category")
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d)
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return moderation.rates(_scored(spark, d), "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         p1_found, p1_conversations, p1_sessions, p2_found, p2_forms, p3_found, p3_stretches, p6_found, p6_redacted,
         p7_packed, p7_fill, p8_found, p8_spans,
+        p9_found, p9_scores, p9_rates,
     )
     return {f.__name__: f for f in named}
 
