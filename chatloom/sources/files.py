@@ -16,7 +16,7 @@ def table(spark: SparkSession, base: str, name: str) -> DataFrame:
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
     """State rows of ``{"chats": [...]}`` files; missing or differently shaped lists give no rows."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     chats = F.try_variant_get(F.try_parse_json("value"), "$.chats", "variant")
     listed = files.select(chats.alias("c")).where(F.schema_of_variant("c").startswith("ARRAY"))
     return validate_state(listed.select(F.explode(F.from_json(F.to_json("c"), "array<string>")).alias("record")))
@@ -38,7 +38,7 @@ def read_topic_files(spark: SparkSession, json_path: str, txt_path: str, chat_id
 
     def content(path: str, name: str) -> DataFrame:
         try:
-            read = spark.read.option("wholetext", True).text(path).select(F.col("value").alias(name))
+            read = spark.read.text(path, wholetext=True).select(F.col("value").alias(name))
             return read.agg(F.max(name).alias(name))
         except Exception:  # noqa: BLE001 - the path does not exist
             return spark.sql(f"select cast(null as string) as {name}")
