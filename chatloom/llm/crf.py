@@ -133,7 +133,7 @@ class Model:
         return total
 
     def decode(self, batch: np.ndarray, tables: tuple) -> np.ndarray:
-        """Best labels of each row (padding is decoded too and has to be ignored)."""
+        """Best labels of each row; those of the padding mean nothing."""
         scores = self.emissions(batch, tables)
         rows, length, n = scores.shape
         back = np.zeros((rows, length, n), np.int8)
@@ -141,10 +141,10 @@ class Model:
         for t in range(1, length):
             reach = start[:, :, None] + self.move[None]
             back[:, t] = reach.argmax(1)
-            start = reach.max(1) + scores[:, t]
+            following = reach.max(1) + scores[:, t]
             pad = batch[:, t] == 0
-            if pad.any():
-                start[pad, 1:] = -1e9
+            back[pad, t], following[pad] = np.arange(n), start[pad]
+            start = following
         best = np.zeros((rows, length), np.int8)
         best[:, -1] = start.argmax(1)
         for t in range(length - 1, 0, -1):
@@ -180,15 +180,16 @@ def train(
             for i, (x, y) in enumerate(part):
                 batch[i, : len(x)], gold[i, : len(x)], real[i, : len(x)] = x, y, True
             scores = model.emissions(batch, tables).astype(np.float64)
-            scores[~real] = [0.0] + [-1e4] * (n - 1)  # padding is always outside
             move = model.move.astype(np.float64)
             ahead = np.zeros_like(scores)
             ahead[:, 0] = scores[:, 0] + move[0]
             for t in range(1, length):
                 ahead[:, t] = scores[:, t] + _lse(ahead[:, t - 1, :, None] + move[None], 1)
+                ahead[~real[:, t], t] = ahead[~real[:, t], t - 1]  # padding passes on what was reached
             behind = np.zeros_like(scores)
             for t in range(length - 2, -1, -1):
                 behind[:, t] = _lse(move[None] + (scores[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
+                behind[~real[:, t + 1], t] = 0
             total = _lse(ahead[:, -1], 1)
             marginal = np.exp(np.minimum(0, ahead + behind - total[:, None, None]))
             gradient = -marginal

@@ -76,7 +76,7 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
     """(message number, offset, sentence) of each sentence with enough words; links, handles and numbers are cut out."""
     found = []
     heads = list(_HEAD.finditer(text))
-    spans = [(m.end(), n.start() if n else len(text)) for m, n in zip(heads, [*heads[1:], None], strict=True)]
+    spans = [(m.end(), n.start() if n else len(text)) for m, n in zip(heads, [*heads[1:], None][: len(heads)], strict=True)]
     if not heads or text[: heads[0].start()].strip():
         spans.insert(0, (0, heads[0].start() if heads else len(text)))
     for number, (start, end) in enumerate(spans):

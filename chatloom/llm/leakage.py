@@ -33,8 +33,8 @@ LEAST_EXACT = 8
 LEAST_SHARE = 0.75
 #: A sentence is shared if it occurs in at least this many items and this share of them.
 SHARED_ITEMS, SHARED_SHARE = 3, 0.02
-#: A word is rare if at most this many items, or this share of them, have it.
-RARE_ITEMS, RARE_SHARE = 3, 0.0125
+#: A word is rare if only one item text, or at most this share of them, has it.
+RARE_SHARE = 0.0125
 #: Words of a shard index, and of the items searched at once; the latter bounds what is broadcast.
 SHARD_WORDS, BLOCK_WORDS = 400_000, 200_000
 #: Longest insertion, in words, between two spans that belong together, such as a line prefix.
@@ -88,15 +88,16 @@ class Items:
 def item_blocks(rows: list[tuple[object, str]]) -> list[Items]:
     """Items in blocks of bounded size, with shared sentences and rare words taken over all of them."""
     sentences, holders = Counter(), Counter()
-    sizes = []
-    for _, text in rows:
+    sizes, texts = [], {text for _, text in rows}
+    for text in texts:
         split = [tuple(words(s)) for s in _SENTENCE.split(text)]
         sentences.update(set(split))
         holders.update({w for s in split for w in s})
-        sizes.append(sum(map(len, split)))
-    distinct = len({text for _, text in rows})
-    shared = {s for s, n in sentences.items() if n >= max(SHARED_ITEMS, SHARED_SHARE * distinct) and distinct > n // 2 and _held(s, rows, n)}
-    rare = {w for w, n in holders.items() if n <= max(RARE_ITEMS, RARE_SHARE * len(rows))}
+    for _, text in rows:
+        sizes.append(len(words(text)))
+    # Counted over different texts, so that a repeated item does not make its own sentences shared.
+    shared = {s for s, n in sentences.items() if n >= max(SHARED_ITEMS, SHARED_SHARE * len(texts))}
+    rare = {w for w, n in holders.items() if n <= max(1, RARE_SHARE * len(texts))}
     blocks, part, room = [], [], BLOCK_WORDS
     for row, size in zip(rows, sizes, strict=True):
         if part and size > room:
@@ -107,12 +108,6 @@ def item_blocks(rows: list[tuple[object, str]]) -> list[Items]:
     return [*blocks, Items(part, shared, rare)] if part else blocks
 
 
-def _held(sentence: tuple[str, ...], rows: list, n: int) -> bool:
-    """True if the items that hold a sentence differ from each other, so that it is shared and not a repeated item."""
-    texts = {t for _, t in rows if sentence in {tuple(words(s)) for s in _SENTENCE.split(t)}} if n < 50 else {0, 1, 2}
-    return len(texts) >= SHARED_ITEMS
-
-
 class Shard:
     """Documents coded in the words of a block, searched together."""
 

@@ -26,9 +26,9 @@ from chatloom.operators.state import current_state
 
 #: Letters that a reader cannot tell apart, Latin first, then Cyrillic, Greek, others.
 LOOKALIKES = (
-    "aаɑ", "cсϲ", "dԁ", "eеҽ", "gɡ", "hһ", "iіı", "jјϳ", "lӏ", "oоοօ", "pрρ", "qԛ", "sѕ", "vνѵ", "wԝѡ", "xх", "yу",
-    "AАΑ", "BВΒ", "CСϹ", "EЕΕ", "FϜ", "GԌ", "HНΗ", "IІΙӀ", "JЈͿ", "KКΚ", "MМΜ", "NΝ", "OОΟՕ", "PРΡ", "QԚ", "SЅ",
-    "TТΤ", "VѴ", "WԜ", "XХΧ", "YҮΥ", "ZΖ", "äӓ", "ëё", "ïї", "ÄӒ", "ËЁ", "ÏЇ", "æӕ", "ÆӔ", "ΓГ", "ΠП", "ΦФ",
+    "aаɑ", "cс", "dԁ", "eе", "gɡ", "hһ", "iі", "jјϳ", "oоοօ", "pрρ", "qԛ", "sѕ", "vνѵ", "wԝѡ", "xх", "yу",
+    "AАΑ", "BВΒ", "CС", "EЕΕ", "FϜ", "GԌ", "HНΗ", "IІΙӀ", "JЈͿ", "KКΚ", "MМΜ", "NΝ", "OОΟՕ", "PРΡ", "QԚ", "SЅ",
+    "TТΤ", "VѴ", "WԜ", "XХΧ", "YҮΥ", "ZΖ", "æӕ", "ÆӔ", "ΓГ", "ΠП", "ΦФ",
 )
 #: Hyphens that look like the ASCII one, and quotes like the ASCII apostrophe.
 HYPHENS, APOSTROPHES = "\u2010\u2011\u2012\u2212\ufe63", "\u2018\u2019\u02bc\u02b9\u2032"
@@ -39,8 +39,9 @@ CLASS_OF = {letter: group for group in LOOKALIKES for letter in group}
 SWITCH_PENALTY = 6.0
 #: Scripts whose bigrams are counted; their letters bound the size of the model.
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK")
+MARK = "MARK"
 _DROP = {ord(c): None for c in IGNORABLE} | {ord(c): "-" for c in HYPHENS} | {ord(c): "'" for c in APOSTROPHES}
-_TOKEN = re.compile(r"[^\W\d_]+")
+_TOKEN = re.compile(r"[^\W\d_][^\W\d_\u0300-\u036f]*(?:[\u0300-\u036f]+[^\W\d_]*)*")
 _SPACES = re.compile(r"\s+")
 
 
@@ -55,13 +56,15 @@ def normalize(text: str) -> str:
 
 @lru_cache(maxsize=4096)
 def script(letter: str) -> str:
+    if unicodedata.combining(letter):
+        return MARK
     name = unicodedata.name(letter, "")
     return next((s for s in SCRIPTS if name.startswith(s)), "OTHER")
 
 
 def token_bigrams(token: str) -> Iterator[tuple[str, str]]:
     """Bigrams of a token of one script, with blanks for its ends; a token of several scripts gives none."""
-    if len({script(c) for c in token}) == 1 and script(token[0]) != "OTHER":
+    if len({script(c) for c in token} - {MARK}) == 1 and script(token[0]) != "OTHER":
         yield from zip(" " + token, token + " ", strict=True)
 
 
@@ -85,13 +88,12 @@ class Lattice:
     """Viterbi search for the most plausible letters of a token."""
 
     def __init__(self, counts: dict[tuple[str, str], int]) -> None:
-        self.counts, self.totals, self.memo = counts, {}, {}
-        for (a, _), n in counts.items():
-            self.totals[a] = self.totals.get(a, 0) + n
+        self.counts, self.memo = counts, {}
 
     def step(self, a: str, b: str) -> float:
-        score = math.log((self.counts.get((a, b), 0) + 0.1) / (self.totals.get(a, 0) + 20.0))
-        apart = a != " " and b != " " and script(a) != script(b)
+        # Joint rather than conditional counts: a letter the corpus never shows must not gain by being unknown.
+        score = math.log(self.counts.get((a, b), 0) + 0.1)
+        apart = a != " " and b != " " and script(a) != script(b) and MARK not in (script(a), script(b))
         return score - SWITCH_PENALTY * apart
 
     def best(self, token: str) -> str:
@@ -123,7 +125,12 @@ class Lattice:
         return "".join(reversed(out))
 
     def canonical(self, text: str) -> str:
-        return _TOKEN.sub(lambda m: self.best(m.group()), normalize(text))
+        """Letters are matched without their accents, which are put back on the letter chosen."""
+        text = normalize(text)
+        if text.isascii():
+            return _TOKEN.sub(lambda m: self.best(m.group()), text)
+        apart = unicodedata.normalize("NFD", text)
+        return unicodedata.normalize("NFC", _TOKEN.sub(lambda m: self.best(m.group()), apart))
 
 
 def with_canonical(rows: DataFrame, column: str, target: str, counts: dict | None = None) -> DataFrame:
