@@ -3,8 +3,8 @@
 Text is cut into messages and sentences. Each sentence is compressed with one zstandard raw-content dictionary per
 language; the language with the smallest result wins, and a sentence whose best two results lie close together is left
 undecided. A dictionary holds a small built-in text and sentences of a bounded sample of labelled documents; a sampled
-sentence enters only if the built-in texts alone give it the language of its document's label, so wrong labels and
-mixed documents do not spoil the dictionaries.
+sentence enters only if the built-in texts alone give it, and the document as a whole, the language of the document's
+label, so wrong labels and mixed documents do not spoil the dictionaries.
 
 Defined results: null, empty and blank texts, and texts of links, numbers, commands, emoji or fewer than three words a
 sentence have no sentence and give no rows. Labels are compared by language: ``en-GB``, ``eng`` and ``EN`` are English;
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -144,11 +145,12 @@ def sampled_sentences(documents: DataFrame, key: str, text: str, label: str) ->
         for frame in frames:
             rows = set()
             for body, code in zip(frame["_t"], frame["_l"], strict=True):
-                for _, _, s in sentences(body):
-                    if len(s) <= 300:
-                        found, margin = seeds.decide(s)
-                        if found == code and margin >= LEAST_MARGIN / 2:
-                            rows.add((code, s))
+                judged = [(s, *seeds.decide(s)) for _, _, s in sentences(body) if len(s) <= 300]
+                weight = Counter()
+                for _, found, margin in judged:
+                    weight[found] += margin
+                if weight and weight[code] == max(weight.values()):
+                    rows.update((code, s) for s, found, margin in judged if found == code and margin >= LEAST_MARGIN / 2)
             yield pd.DataFrame(sorted(rows), columns=["code", "s"])
 
     spread = sample.repartition(F.pmod("_h", F.lit(64)))
