@@ -28,17 +28,25 @@ CONVERSATION = ("chat_id", "thread_id")
 ID_BLOCK = 1 << 14
 
 
-def counted_messages(messages: DataFrame, state: DataFrame, bots: DataFrame, with_body: bool = True) -> DataFrame:
-    """First deliveries not above their chat's mark, with role and (or only whether there is) a body."""
+def _body() -> Column:
     text = payload(F.col("text"), F.col("caption"))
-    visible = has_visible(text)
+    return F.when(has_visible(text), text)
+
+
+def _content() -> Column:
+    """Tells copies of one message apart that share their place in the order of delivery."""
+    return F.xxhash64("reply_to_top_message_id", "date", "from_user.id", _body())
+
+
+def counted_messages(messages: DataFrame, state: DataFrame, bots: DataFrame) -> DataFrame:
+    """First deliveries not above their chat's mark, with role and whether there is a body; bodies are not carried."""
     rows = messages.where("chat_id is not null and id is not null").select(
         "chat_id", "id", F.col("reply_to_top_message_id").alias("thread_id"), "arrival_seq", F.col("date").alias("at"),
-        F.col("from_user").isNull().alias("no_author"), F.col("from_user.id").alias("author"), visible.alias("has_body"),
-        *([F.when(visible, text).alias("body")] if with_body else []),
+        F.col("from_user").isNull().alias("no_author"), F.col("from_user.id").alias("author"),
+        _body().isNotNull().alias("has_body"), _content().alias("content"),
     )
     rest = [c for c in rows.columns if c not in ("chat_id", "id")]
-    rank = F.struct(F.col("arrival_seq").isNull(), F.col("arrival_seq"), F.xxhash64(*rest))
+    rank = F.struct(F.col("arrival_seq").isNull(), F.col("arrival_seq"), F.col("content"))
     best = rows.groupBy("chat_id", "id").agg(F.min_by(F.struct(*rest), rank).alias("_m"))
     once = best.select("chat_id", "id", *(F.col("_m").getField(c).alias(c) for c in rest))
     marks = current_state(state.select("id", "latest_message_id", "ord")).select(
@@ -48,9 +56,17 @@ def counted_messages(messages: DataFrame, state: DataFrame, bots: DataFrame, wit
     limited = once.join(marks, "chat_id", "left").where(F.col("_mark").isNull() | (F.col("id") <= F.col("_mark")))
     named = limited.join(known, "author", "left")
     role = F.when(F.col("no_author"), F.lit("system")).when(F.col("_bot"), F.lit("assistant")).otherwise(F.lit("user"))
-    return named.select(
-        "chat_id", "id", "thread_id", "at", "has_body", role.alias("role"), *(["body"] if with_body else [])
-    )
+    return named.select("chat_id", "id", "thread_id", "at", "has_body", role.alias("role"), "arrival_seq", "content")
+
+
+def with_bodies(rows: DataFrame, messages: DataFrame) -> DataFrame:
+    """Adds the body of the delivery each row stands for; bodies take part in this one exchange only."""
+    keys = ("chat_id", "id", "_seq", "content")
+    sources = messages.where("chat_id is not null and id is not null").select(
+        "chat_id", "id", F.coalesce("arrival_seq", F.lit(-1)).alias("_seq"), _content().alias("content"), _body().alias("body")
+    ).where("body is not null")
+    once = sources.groupBy(*keys).agg(F.max("body").alias("body"))
+    return rows.withColumn("_seq", F.coalesce("arrival_seq", F.lit(-1))).join(once, [*keys], "left").drop("_seq", "arrival_seq", "content")
 
 
 def verdicts(counted: DataFrame) -> DataFrame:
@@ -136,9 +152,9 @@ def rebuild(messages: DataFrame, state: DataFrame, bots: DataFrame) -> DataFrame
     """All kept conversations, a row per message with turn, session, role and body."""
     counted = counted_messages(messages, state, bots)
     rows = conversation_rows(counted, verdicts(counted).where("drop_reason is null"))
-    return turns(sessions(rows, calibrated_gap(rows))).drop("has_body")
+    return with_bodies(turns(sessions(rows, calibrated_gap(rows))), messages).drop("has_body")
 
 
 def dropped(messages: DataFrame, state: DataFrame, bots: DataFrame) -> DataFrame:
     """The conversations that :func:`rebuild` leaves out, with the reason."""
-    return verdicts(counted_messages(messages, state, bots, with_body=False)).where("drop_reason is not null")
+    return verdicts(counted_messages(messages, state, bots)).where("drop_reason is not null")

@@ -34,7 +34,7 @@ FOLDS = 4
 THRESHOLD = 0.5
 WINDOW, STRIDE = 16, 8
 #: Weight of documents of another category as negatives, as their labels may be incomplete.
-OTHER_WEIGHT = 0.4
+OTHER_WEIGHT = 0.6
 
 #: Built-in word lists, in the collapsed form of :func:`key_of`.
 LISTS = {
@@ -154,7 +154,7 @@ class Lexicon:
             out.append(w)
         return out
 
-    N_FEATURES = 3 * 5 + 7
+    N_FEATURES = 3 * 7 + 7
 
     def features(self, found: list[Window]) -> np.ndarray:
         """Pooled features of a document; windows without a listed word leave no trace."""
@@ -185,6 +185,11 @@ class Lexicon:
             row[15] = max((1 / (1 + min(abs(i - j) for j in group)) for i in hot), default=0) if group else 0
             row[16], row[17], row[18] = len(you) / n, window.capitals, min(window.marks, 5)
             row[19], row[20], row[21] = min(window.disguises, 6), len(hot) / n, n
+            for k in range(3):
+                # How far the window speaks for this category rather than another.
+                others = [j for j in range(3) if j != k]
+                row[22 + k] = max(0.0, row[9 + k] - max(row[9 + j] for j in others))
+                row[25 + k] = max(0.0, weight[k] - max(weight[j] for j in others))
             np.maximum(best, row, out=best)
         return best
 
