@@ -8,7 +8,7 @@ import numpy as np
 class Boosted:
     """Depth-limited trees over at most ``bins`` quantile bins a feature."""
 
-    def __init__(self, trees: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 48, least: float = 2.0, ridge: float = 1.0) -> None:
+    def __init__(self, trees: int = 60, depth: int = 3, rate: float = 0.15, bins: int = 48, least: float = 6.0, ridge: float = 2.0) -> None:
         self.trees, self.depth, self.rate, self.bins, self.least, self.ridge = trees, depth, rate, bins, least, ridge
         self.edges: list[np.ndarray] = []
         self.nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions.text import has_visible, payload
 from chatloom.operators.state import current_state
+from chatloom.storage import written
 
 #: Share of the gaps inside conversations that the calibrated limit leaves whole, and the least limit in seconds.
 GAP_QUANTILE = 0.95
@@ -151,7 +152,7 @@ def turns(rows: DataFrame) -> DataFrame:
 def rebuild(messages: DataFrame, state: DataFrame, bots: DataFrame) -> DataFrame:
     """All kept conversations, a row per message with turn, session, role and body."""
     counted = counted_messages(messages, state, bots)
-    rows = conversation_rows(counted, verdicts(counted).where("drop_reason is null"))
+    rows = written(conversation_rows(counted, verdicts(counted).where("drop_reason is null")), "conversations")
     return with_bodies(turns(sessions(rows, calibrated_gap(rows))), messages).drop("has_body")
 
 
