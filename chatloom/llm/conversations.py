@@ -151,11 +151,16 @@ def turns(rows: DataFrame) -> DataFrame:
 
 def rebuild(messages: DataFrame, state: DataFrame, bots: DataFrame) -> DataFrame:
     """All kept conversations, a row per message with turn, session, role and body."""
-    counted = counted_messages(messages, state, bots)
-    rows = written(conversation_rows(counted, verdicts(counted).where("drop_reason is null")), "conversations")
+    rows = kept_rows(messages, state, bots)
     return with_bodies(turns(sessions(rows, calibrated_gap(rows))), messages).drop("has_body")
 
 
+def kept_rows(messages: DataFrame, state: DataFrame, bots: DataFrame) -> DataFrame:
+    """The rows of kept conversations without bodies, written to the shared folder, as several steps read them."""
+    counted = written(counted_messages(messages, state, bots), "counted")
+    return written(conversation_rows(counted, verdicts(counted).where("drop_reason is null")), "conversations")
+
+
 def dropped(messages: DataFrame, state: DataFrame, bots: DataFrame) -> DataFrame:
     """The conversations that :func:`rebuild` leaves out, with the reason."""
     return verdicts(counted_messages(messages, state, bots)).where("drop_reason is not null")

@@ -19,9 +19,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_conversations(spark: SparkSession, d: str) -> DataFrame:
-    counted = conversations.counted_messages(*_chat_inputs(spark, d))
-    kept = conversations.verdicts(counted).where("drop_reason is null")
-    rows = conversations.turns(conversations.conversation_rows(counted, kept))
+    rows = conversations.turns(conversations.kept_rows(*_chat_inputs(spark, d)))
     rows = conversations.with_bodies(rows, table(spark, d, "messages"))
     return rows.select("chat_id", "thread_id", "turn", "id", "role", "body")
 
