@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,11 @@ def chosen_media(m, slots: tuple[str, ...] = MEDIA_SLOTS) -> Column:
     return F.coalesce(*(m[s] for s in slots))
 
 
+def has_media(m, slots: tuple[str, ...] = MEDIA_SLOTS) -> Column:
+    """True if a slot is filled; a filled slot has a kind, so the scan reads no other field."""
+    return reduce(lambda a, b: a | b, [m[s]["kind"].isNotNull() for s in slots])
+
+
 def raw_file_id(media: Column) -> Column:
     return F.coalesce(media["big_file_id"], media["file_id"])
 

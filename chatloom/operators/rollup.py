@@ -15,7 +15,7 @@ def bucket_rollup(messages: DataFrame) -> DataFrame:
     return m.groupBy(
         "chat_id", F.col("reply_to_top_message_id").alias("thread_id"), ft.week_bucket(F.col("date")).alias("bucket")
     ).agg(
-        F.count(F.lit(1)).alias("n_messages"), F.count(fm.chosen_media(m)["kind"]).alias("n_media"),
+        F.count(F.lit(1)).alias("n_messages"), F.count_if(fm.has_media(m)).alias("n_media"),
         F.min("id").alias("min_id"), F.max("id").alias("max_id"),
     )
 

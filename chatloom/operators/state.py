@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import filled
+from chatloom.operators.blocks import running
 from chatloom.schemas import CHAT_TYPES
 
+#: Arrivals in one block of a running mark.
+ARRIVALS = 1 << 16
+
 FIELDS = (
     "id", "chat_type", "username", "qualname", "history_complete", "oldest_message_id", "latest_message_id",
 )
@@ -127,8 +131,7 @@ def chat_mapping_lines(state: DataFrame) -> DataFrame:
 
 def running_marks(messages: DataFrame) -> DataFrame:
     """Lowest and highest id so far after each arrival of a chat."""
-    w = Window.partitionBy("chat_id").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return messages.select(
-        "chat_id", "id", "arrival_seq",
-        F.min("id").over(w).alias("oldest_message_id"), F.max("id").over(w).alias("latest_message_id"),
-    )
+    rows = messages.select("chat_id", "id", "arrival_seq", F.floor(F.col("arrival_seq") / ARRIVALS).alias("_block"))
+    for kind, name in (("min", "oldest_message_id"), ("max", "latest_message_id")):
+        rows = running(rows, ("chat_id",), "_block", ("arrival_seq",), kind, F.col("id"), name)
+    return rows.drop("_block")

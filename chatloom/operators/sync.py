@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatloom.operators.blocks import running
+
+#: Arrivals in one block of a running mark.
+ARRIVALS = 1 << 16
+
 
 def tail(messages: DataFrame, state: DataFrame) -> DataFrame:
     """Messages above their chat's highest known id; a chat without a mark has no tail."""
@@ -37,9 +42,9 @@ def batch_summary(messages: DataFrame, batch_size: int) -> DataFrame:
 
 def live_accepted(messages: DataFrame) -> DataFrame:
     """Rows whose id is above every id of the chat that arrived before; others are late or repeated."""
-    w = Window.partitionBy("chat_id").orderBy("arrival_seq").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.max("id").over(w)
-    return messages.withColumn("_seen", seen).where(F.col("_seen").isNull() | (F.col("id") > F.col("_seen"))).drop("_seen")
+    blocked = messages.withColumn("_block", F.floor(F.col("arrival_seq") / ARRIVALS))
+    seen = running(blocked, ("chat_id",), "_block", ("arrival_seq",), "max", F.col("id"), "_seen", current=False)
+    return seen.where(F.col("_seen").isNull() | (F.col("id") > F.col("_seen"))).drop("_seen", "_block")
 
 
 def synchronise(messages: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
