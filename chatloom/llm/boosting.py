@@ -30,7 +30,10 @@ class Boosted:
         return self
 
     def _grow(self, binned: np.ndarray, gradient: np.ndarray, hessian: np.ndarray) -> np.ndarray:
-        size = 2 ** (self.depth + 1) - 1
+        """One tree; histograms of all features of a node come from one count over (feature, bin) cells."""
+        size, width, inner = 2 ** (self.depth + 1) - 1, binned.shape[1], 2**self.depth - 1
+        bins = max(len(e) for e in self.edges) + 1
+        cells = binned + np.arange(width) * bins
         feature, cut, value = np.full(size, -1), np.zeros(size, np.int64), np.zeros(size)
         at = np.zeros(len(binned), np.int64)
         for node in range(size):
@@ -38,24 +41,23 @@ class Boosted:
             if not len(here):
                 continue
             g, h = gradient[here], hessian[here]
-            value[node] = self.rate * g.sum() / (h.sum() + self.ridge)
-            if node >= 2**self.depth - 1:
+            total_g, total_h = g.sum(), h.sum()
+            value[node] = self.rate * total_g / (total_h + self.ridge)
+            if node >= inner:
                 continue
-            best = (1e-3, -1, 0)
-            for j in range(binned.shape[1]):
-                n = len(self.edges[j]) + 1
-                left_g, left_h = np.cumsum(np.bincount(binned[here, j], g, n))[:-1], np.cumsum(np.bincount(binned[here, j], h, n))[:-1]
-                right_g, right_h = g.sum() - left_g, h.sum() - left_h
-                gain = left_g**2 / (left_h + self.ridge) + right_g**2 / (right_h + self.ridge) - g.sum() ** 2 / (h.sum() + self.ridge)
-                count = np.cumsum(np.bincount(binned[here, j], minlength=n))[:-1]
-                gain[(count < self.least) | (len(here) - count < self.least)] = 0
-                k = int(gain.argmax())
-                if gain[k] > best[0]:
-                    best = (gain[k], j, k)
-            if best[1] >= 0:
-                _, feature[node], cut[node] = best
-                goes = binned[here, best[1]] > best[2]
-                at[here] = 2 * node + 1 + goes
+            flat = cells[here].ravel()
+            left = [
+                np.cumsum(np.bincount(flat, w, width * bins).reshape(width, bins), 1)[:, :-1]
+                for w in (np.repeat(g, width), np.repeat(h, width), None)
+            ]
+            left_g, left_h, count = left
+            gain = left_g**2 / (left_h + self.ridge) + (total_g - left_g) ** 2 / (total_h - left_h + self.ridge)
+            gain -= total_g**2 / (total_h + self.ridge)
+            gain[(count < self.least) | (len(here) - count < self.least)] = 0
+            best = int(gain.argmax())
+            if gain.ravel()[best] > 1e-3:
+                feature[node], cut[node] = divmod(best, bins - 1)
+                at[here] = 2 * node + 1 + (binned[here, feature[node]] > cut[node])
         self.nodes.append((feature, cut, value))
         return value[at]
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.functions.text import has_visible, payload
+from chatloom.operators.blocks import running
 from chatloom.operators.state import current_state
 from chatloom.storage import written
 
@@ -124,29 +125,18 @@ def calibrated_gap(rows: DataFrame) -> float:
     return max(float(limit or 0), LEAST_GAP_S)
 
 
-def _running(rows: DataFrame, block: str, order: list[str], value: Column, name: str) -> DataFrame:
-    """Running sum of ``value`` over a conversation, taken in blocks: inside each, then over the sums of the blocks."""
-    keys = [*CONVERSATION, block]
-    inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = rows.groupBy(*keys).agg(F.sum(value).alias("_sum"))
-    outer = Window.partitionBy(*CONVERSATION).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*keys, F.coalesce(F.sum("_sum").over(outer), F.lit(0)).alias("_offset"))
-    return rows.withColumn("_inner", F.sum(value).over(inner)).join(offsets, keys, "left").withColumn(
-        name, F.col("_inner") + F.col("_offset")
-    ).drop("_inner", "_offset")
-
-
 def sessions(rows: DataFrame, gap_s: float) -> DataFrame:
     """Adds ``session``, counted from 0 in the order of time; null for rows without a time."""
     split = F.coalesce(F.col("_pause") > gap_s, F.lit(False)).cast("int")
-    numbered = _running(_with_pauses(rows), "_hour", ["_s", "id"], split, "session")
-    return numbered.drop("_s", "_hour", "_pause")
+    numbered = running(_with_pauses(rows), CONVERSATION, "_hour", ("_s", "id"), "sum", split, "session")
+    return numbered.withColumn("session", F.when(F.col("at").isNotNull(), F.col("session"))).drop("_s", "_hour", "_pause")
 
 
 def turns(rows: DataFrame) -> DataFrame:
     """Adds ``turn``, counted from 0 in the order of ids; a block of ids holds at most as many rows as ids."""
     blocked = rows.withColumn("_block", F.floor(F.col("id") / ID_BLOCK))
-    return _running(blocked, "_block", ["id"], F.lit(1), "turn").withColumn("turn", F.col("turn") - 1).drop("_block")
+    numbered = running(blocked, CONVERSATION, "_block", ("id",), "sum", F.lit(1), "turn")
+    return numbered.withColumn("turn", F.col("turn") - 1).drop("_block")
 
 
 def rebuild(messages: DataFrame, state: DataFrame, bots: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -50,9 +51,10 @@ _SPLIT = re.compile(r"(?<=[.?!…])[\"')]*\s+|\n+")
 _SPACED = re.compile(r"(?<![^\W\d_])(?:[^\W_][.\-_* ]{1,2}){2,}[^\W_](?![^\W\d_])")
 _TOKEN = re.compile(r"[^\W_]+(?:\*+[^\W_]*)?")
 _LEET = str.maketrans("013457@$", "oieastas")
-_RUN = re.compile(r"(.)\1+")
+_RUN, _THRICE = re.compile(r"(.)\1+"), re.compile(r"(.)\1\1")
 
 
+@lru_cache(maxsize=1 << 17)
 def key_of(word: str) -> str:
     """A word with repeated letters as one."""
     return _RUN.sub(r"\1", word)
@@ -61,34 +63,51 @@ def key_of(word: str) -> str:
 class Window:
     """Words of a window with what its disguises and spelling tell."""
 
-    __slots__ = ("words", "capitals", "marks", "disguises")
+    __slots__ = ("clean", "words", "disguises")
 
     def __init__(self, text: str) -> None:
-        folded = unicodedata.normalize("NFKC", text)
-        clean = folded.translate(_FOLD)
-        letters = [c for c in clean if c.isalpha()]
-        self.disguises = int(len(clean) != len(folded)) + sum(a != b for a, b in zip(folded, clean, strict=False) if len(clean) == len(folded)) * 0.2
-        self.capitals = sum(c.isupper() for c in letters) / max(len(letters), 1)
-        self.marks = sum(c in "!?" or ord(c) > 0x1F300 for c in clean)
-        clean = clean.lower()
-
-        def join(m: re.Match) -> str:
-            self.disguises += 1
-            return re.sub(r"[^\w]|_", "", m.group())
-
+        self.disguises = 0.0
+        if text.isascii():
+            self.clean = text
+        else:
+            folded = unicodedata.normalize("NFKC", text)
+            self.clean = folded.translate(_FOLD)
+            if len(self.clean) != len(folded):
+                self.disguises += 1
+            elif self.clean != folded:
+                self.disguises += 0.2 * sum(a != b for a, b in zip(folded, self.clean, strict=True))
+        low = self.clean.lower()
+        if _SPACED.search(low):
+            low = _SPACED.sub(self._join, low)
         self.words: list[str] = []
-        for token in _TOKEN.findall(_SPACED.sub(join, clean)):
-            if "*" in token:
+        for token in _TOKEN.findall(low):
+            if token.isalpha():
+                key = key_of(token)
+                if len(token) - len(key) > 1 and _THRICE.search(token):
+                    self.disguises += 1
+                self.words.append(key)
+            elif token.isdigit():
+                self.words.append("0")
+            elif "*" in token:
                 self.disguises += 1
-                end = token.rstrip("*")[-1] if not token.endswith("*") else ""
+                end = "" if token.endswith("*") else token[-1]
                 self.words.append(f"*{token[0]}{len(token)}{end}")
-                continue
-            if any(map(str.isdigit, token)) and any(map(str.isalpha, token)):
-                token = token.translate(_LEET)
-                self.disguises += 1
-            if re.search(r"(.)\1\1", token):
+            else:
                 self.disguises += 1
-            self.words.append("0" if token.isdigit() else key_of(token))
+                self.words.append(key_of(token.translate(_LEET)))
+
+    def _join(self, m: re.Match) -> str:
+        self.disguises += 1
+        return re.sub(r"[^\w]|_", "", m.group())
+
+    @property
+    def capitals(self) -> float:
+        letters = [c for c in self.clean if c.isalpha()]
+        return sum(c.isupper() for c in letters) / max(len(letters), 1)
+
+    @property
+    def marks(self) -> int:
+        return sum(c in "!?" or ord(c) > 0x1F300 for c in self.clean)
 
 
 def windows(text: str) -> list[Window]:
@@ -147,9 +166,11 @@ class Lexicon:
         """Words with masks resolved and an article split off a word whose letters were apart."""
         out = []
         for w in words:
-            if w[0] == "*":
+            if w in self.hot:
+                pass
+            elif w[0] == "*":
                 w = self.masked.get(w, w)
-            elif w not in self.hot and len(w) > 4 and w[0] in "ai" and key_of(w[1:]) in self.hot:
+            elif len(w) > 4 and w[0] in "ai" and key_of(w[1:]) in self.hot:
                 w = key_of(w[1:])
             out.append(w)
         return out
@@ -160,7 +181,10 @@ class Lexicon:
         """Pooled features of a document; windows without a listed word leave no trace."""
         best = np.zeros(self.N_FEATURES)
         for window in found:
-            words = self.read(window.words)
+            words = window.words
+            if self.hot.isdisjoint(words) and not any(w[0] in "*ai" for w in words):
+                continue
+            words = self.read(words)
             hot = [i for i, w in enumerate(words) if w in self.hot]
             if not hot:
                 continue
