@@ -109,6 +109,17 @@ def pair_ids(batch: np.ndarray, words: np.ndarray, shapes: np.ndarray) -> list[n
     ]
 
 
+def present(batch: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of a batch, the padding first, and the batch in numbers of that list."""
+    seen = np.zeros(size, bool)
+    seen[0] = True
+    seen[batch.ravel()] = True
+    used = np.flatnonzero(seen)
+    place = np.zeros(size, np.int32)
+    place[used] = np.arange(len(used))
+    return used, place[batch]
+
+
 class Model:
     """Weights: one table per neighbour position, one of pairs, one of label transitions."""
 
@@ -123,11 +134,13 @@ class Model:
     def emissions(self, batch: np.ndarray, tables: tuple) -> np.ndarray:
         ids, mask, words, shapes = tables
         total = np.zeros((*batch.shape, len(self.labels)), np.float32)
+        used, local = present(batch, len(ids))
+        ids, mask = ids[used], mask[used]
         for k, offset in enumerate(OFFSETS):
             scores = np.zeros((len(ids), len(self.labels)), np.float32)
             for f in range(ids.shape[1]):
                 scores += self.word[k, ids[:, f]] * mask[:, f, None]
-            total += scores[shifted(batch, offset)]
+            total += scores[shifted(local, offset)]
         for p in pair_ids(batch, words, shapes):
             total += self.pair[p]
         return total
@@ -203,20 +216,27 @@ def train(
             first = gradient[:, 0].sum(0)
             moves[0] += first
             flat = gradient.reshape(-1, n).astype(np.float32)
-            steps = [np.zeros_like(model.word), np.zeros_like(model.pair), np.where(allowed, moves, 0).astype(np.float32)]
+            used, local = present(batch, len(ids))
+            own, weight = ids[used], mask[used]
+            rows = np.unique(own)
+            at = np.searchsorted(rows, own).ravel()
             for k, offset in enumerate(OFFSETS):
-                by_token = _sum_rows(shifted(batch, offset).ravel(), flat, len(ids))
-                for f in range(ids.shape[1]):
-                    steps[0][k] += _sum_rows(ids[:, f], by_token * mask[:, f, None], WORD_SIZE)
-            for p in pair_ids(batch, words, shapes):
-                steps[1] += _sum_rows(p.ravel(), flat, PAIR_SIZE)
-            for weights, step, total_sq in zip((model.word, model.pair, model.move), steps, sums, strict=True):
-                used = step != 0
-                total_sq[used] += step[used] ** 2
-                weights[used] += rate * step[used] / np.sqrt(total_sq[used]) - decay * weights[used]
+                by_token = _sum_rows(shifted(local, offset).ravel(), flat, len(used))
+                step = _sum_rows(at, (by_token[:, None] * weight[:, :, None]).reshape(-1, n), len(rows))
+                _climb(model.word[k], sums[0][k], rows, step, rate, decay)
+            pairs = np.concatenate([p.ravel() for p in pair_ids(batch, words, shapes)])
+            rows, at = np.unique(pairs, return_inverse=True)
+            _climb(model.pair, sums[1], rows, _sum_rows(at, np.tile(flat, (len(pairs) // len(flat), 1)), len(rows)), rate, decay)
+            _climb(model.move, sums[2], np.arange(n), np.where(allowed, moves, 0).astype(np.float32), rate, decay)
             model.move[~allowed] = -1e4
     return model
 
 
+def _climb(weights: np.ndarray, squares: np.ndarray, rows: np.ndarray, step: np.ndarray, rate: float, decay: float) -> None:
+    """AdaGrad on some rows of a table."""
+    squares[rows] += step**2
+    weights[rows] += rate * step / np.sqrt(squares[rows]) - decay * weights[rows] * (step != 0)
+
+
 def _sum_rows(keys: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return np.stack([np.bincount(keys, values[:, j], size) for j in range(values.shape[1])], 1).astype(np.float32)
