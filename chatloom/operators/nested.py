@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chatloom.storage import restored_key
+
 NODE_FIELDS = (
     "node_path string, parent_path string, label string, schema_path string, kind string, fields map<string,string>"
 )
@@ -150,18 +152,18 @@ def flatten(records: DataFrame, key: str, payload: str) -> DataFrame:
         names = [c.split()[0] for c in re.sub(r"<[^>]*>", "", NODE_FIELDS).split(", ")]
         for frame in frames:
             rows = []
-            for k, text in zip(frame["_key"], frame["_payload"], strict=True):
+            for k, text in zip(frame["_k"], frame["_payload"], strict=True):
                 try:
                     rows += [(k, *node) for node in label_nodes(parse(text))]
                 except ValueError:
                     continue
                 if len(rows) >= 20_000:
-                    yield pd.DataFrame(rows, columns=["_key", *names])
+                    yield pd.DataFrame(rows, columns=["_k", *names])
                     rows = []
-            yield pd.DataFrame(rows, columns=["_key", *names])
+            yield pd.DataFrame(rows, columns=["_k", *names])
 
-    narrow = records.select(F.col(key).alias("_key"), F.col(payload).alias("_payload")).where("_payload is not null")
-    return narrow.mapInPandas(run, f"_key {kind}, {NODE_FIELDS}").withColumnRenamed("_key", key)
+    narrow = records.select(F.col(key).cast("string").alias("_k"), F.col(payload).alias("_payload")).where("_payload is not null")
+    return restored_key(narrow.mapInPandas(run, f"_k string, {NODE_FIELDS}"), key, kind)
 
 
 def child_links(nodes: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -29,6 +30,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def restored_key(rows: DataFrame, key: str, kind: str) -> DataFrame:
+    """Gives the text column ``_k`` its name and type back. Keys pass through pandas as text, as null turns whole
+    numbers into floats there."""
+    rest = [F.col(c) for c in rows.columns if c != "_k"]
+    return rows.select(F.col("_k").cast(kind).alias(key), *rest)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a table written by :func:`written` or :func:`new_path`."""
     jvm = spark.sparkContext._jvm

@@ -71,3 +71,8 @@ def test_clashing_field_names(spark):
     table = nested.flat_tables(nested.flatten(frame, "raw_id", "payload"), "raw_id")["A"]
     row = table.first().asDict()
     assert row["field_Raw_ID"] == "1" and row["field_node_path"] == "p" and {row["A"], row["field_a"]} == {"1", "2"}
+
+
+def test_null_and_large_keys(spark):
+    frame = spark.createDataFrame([(2**60 + 1, '{"_": 1}'), (None, '{"_": 1}')], "raw_id long, payload string")
+    assert {r.raw_id for r in nested.flatten(frame, "raw_id", "payload").collect()} == {2**60 + 1, None}
