@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chatloom.storage import restored_key
+
 #: The languages with their three-letter codes.
 LANGUAGES = {
     "en": ("eng",), "de": ("deu", "ger"), "fr": ("fra", "fre"), "es": ("spa",), "pt": ("por",), "it": ("ita",),
@@ -189,9 +191,9 @@ def label_sentences(documents: DataFrame, key: str, text: str, texts: dict[str,
                     rows.append((k, number, at, len(s), code if margin >= LEAST_MARGIN else None, margin))
             yield pd.DataFrame(rows, columns=["_k", "message_no", "start", "length", "language", "confidence"])
 
-    narrow = documents.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where("_t is not null")
-    schema = f"_k {kind}, message_no long, start long, length long, language string, confidence double"
-    return narrow.mapInPandas(run, schema).withColumnRenamed("_k", key)
+    narrow = documents.select(F.col(key).cast("string").alias("_k"), F.col(text).alias("_t")).where("_t is not null")
+    schema = "_k string, message_no long, start long, length long, language string, confidence double"
+    return restored_key(narrow.mapInPandas(run, schema), key, kind)
 
 
 def stretches(labelled: DataFrame, key: str) -> DataFrame:

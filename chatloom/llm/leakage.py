@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from chatloom.llm.fmindex import FMIndex
 from chatloom.llm.lookalikes import IGNORABLE, LOOKALIKES
+from chatloom.storage import restored_key
 
 SEED, LEAST_WORDS, LEAST_SENTENCE = 3, 12, 8
 #: Least number of words of a span in exact runs of SEED or more.
@@ -224,11 +225,11 @@ def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key:
 
     The items are held by the driver, as evaluation sets are small; each block of them is broadcast by itself.
     """
-    rows = [tuple(r) for r in items.select(item_key, item_text).where(F.col(item_text).isNotNull()).orderBy(item_key).toLocalIterator()]
+    rows = [tuple(r) for r in items.select(F.col(item_key).cast("string").alias("_item"), item_text).where(F.col(item_text).isNotNull()).orderBy("_item").toLocalIterator()]
     kinds = dict(documents.dtypes)[key], dict(items.dtypes)[item_key]
-    names = [key, item_key if item_key != key else f"{item_key}_item", "first_word", "end_word", "n_words"]
-    schema = ", ".join(f"`{n}` {t}" for n, t in zip(names, (*kinds, "long", "long", "long"), strict=True))
-    narrow = documents.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where("_t is not null")
+    names = ["_k", "_item", "first_word", "end_word", "n_words"]
+    schema = "_k string, _item string, first_word long, end_word long, n_words long"
+    narrow = documents.select(F.col(key).cast("string").alias("_k"), F.col(text).alias("_t")).where("_t is not null")
     results = []
     for block in item_blocks(rows):
         shared = documents.sparkSession.sparkContext.broadcast(block)
@@ -245,8 +246,9 @@ def leaks(documents: DataFrame, key: str, text: str, items: DataFrame, item_key:
 
         results.append(narrow.mapInPandas(run, schema))
     if not results:
-        return documents.sparkSession.createDataFrame([], schema)
+        results = [documents.sparkSession.createDataFrame([], schema)]
     out = results[0]
     for other in results[1:]:
         out = out.unionByName(other)
-    return out
+    item = F.col("_item").cast(kinds[1]).alias(item_key if item_key != key else f"{item_key}_item")
+    return restored_key(out, key, kinds[0]).select(key, item, "first_word", "end_word", "n_words")

@@ -26,7 +26,7 @@ from chatloom.operators.state import current_state
 
 #: Letters that a reader cannot tell apart, Latin first, then Cyrillic, Greek, others.
 LOOKALIKES = (
-    "aаɑ", "cс", "dԁ", "eе", "gɡ", "hһ", "iі", "jјϳ", "oоοօ", "pрρ", "qԛ", "sѕ", "vνѵ", "wԝѡ", "xх", "yу",
+    "aаɑ", "cс", "dԁ", "eе", "gɡ", "hһ", "iі", "jјϳ", "lӏ", "oоοօ", "pрρ", "qԛ", "sѕ", "vνѵ", "wԝѡ", "xх", "yу",
     "AАΑ", "BВΒ", "CС", "EЕΕ", "FϜ", "GԌ", "HНΗ", "IІΙӀ", "JЈͿ", "KКΚ", "MМΜ", "NΝ", "OОΟՕ", "PРΡ", "QԚ", "SЅ",
     "TТΤ", "VѴ", "WԜ", "XХΧ", "YҮΥ", "ZΖ", "æӕ", "ÆӔ", "ΓГ", "ΠП", "ΦФ",
 )

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from chatloom.llm.boosting import Boosted, calibrated, isotonic
 from chatloom.llm.leakage import _FOLD, _PREFIX
+from chatloom.storage import restored_key
 
 CATEGORIES = ("abuse", "hate", "sexual")
 #: Most labelled documents the model is fitted on, taken in the order of a hash of their id.
@@ -297,9 +298,10 @@ def score(documents: DataFrame, key: str, text: str, labels: DataFrame, keep: tu
                 out[f"p_{c}"] = scores[:, k]
             yield out
 
-    narrow = documents.select(key, *keep, F.col(text).alias("_t"))
-    columns = ", ".join(f"`{c}` {types[c]}" for c in (key, *keep))
-    return narrow.mapInPandas(run, f"{columns}, " + ", ".join(f"p_{c} double" for c in CATEGORIES))
+    narrow = documents.select(F.col(key).cast("string").alias("_k"), *keep, F.col(text).alias("_t"))
+    columns = "".join(f", `{c}` {types[c]}" for c in keep)
+    scored = narrow.mapInPandas(run, f"_k string{columns}, " + ", ".join(f"p_{c} double" for c in CATEGORIES))
+    return restored_key(scored, key, types[key])
 
 
 def flagged(scored: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chatloom.storage import written
+from chatloom.storage import restored_key, written
 
 CAPACITY = 2048
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -54,9 +54,9 @@ def token_counts(documents: DataFrame, key: str, text: str, tokenizer: str = TOK
             n = [len(codec.encode_ordinary(t)) for t in frame["_t"]]
             yield pd.DataFrame({"_k": frame["_k"], "n_tokens": n, "_h": frame["_h"]})
 
-    narrow = documents.select(F.col(key).alias("_k"), F.col(text).alias("_t"), F.xxhash64(key, text).alias("_h"))
-    counted = narrow.where("_t is not null").mapInPandas(run, f"_k {kind}, n_tokens long, _h long")
-    return counted.withColumnRenamed("_k", key)
+    narrow = documents.select(F.col(key).cast("string").alias("_k"), F.col(text).alias("_t"), F.xxhash64(key, text).alias("_h"))
+    counted = narrow.where("_t is not null").mapInPandas(run, "_k string, n_tokens long, _h long")
+    return restored_key(counted, key, kind)
 
 
 def pieces(counts: DataFrame, capacity: int) -> DataFrame:

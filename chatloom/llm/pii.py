@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from chatloom.llm import crf
 from chatloom.llm.pii_table import LABELS, labelled_rows
+from chatloom.storage import restored_key
 
 KINDS = ("email", "phone", "idnum", "address", "name")
 NAME_BITS = 1 << 20
@@ -196,8 +197,8 @@ def _tagged(records: DataFrame, key: str, text: str, schema: str, rows_of: Calla
                 yield pd.DataFrame(rows, columns=["_k", *names])
 
     kind = dict(records.dtypes)[key]
-    narrow = records.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
-    return narrow.mapInPandas(run, f"_k {kind}, {schema}").withColumnRenamed("_k", key)
+    narrow = records.select(F.col(key).cast("string").alias("_k"), F.col(text).alias("_t"))
+    return restored_key(narrow.mapInPandas(run, f"_k string, {schema}"), key, kind)
 
 
 def find(records: DataFrame, key: str, text: str) -> DataFrame:

@@ -322,3 +322,17 @@ def test_normal_forms_are_stable():
     for text in ("ＡＢＣ", "é", "a​b", "x\xa0y"):
         once = lookalikes.normalize(text)
         assert lookalikes.normalize(once) == once == unicodedata.normalize("NFC", once)
+
+
+def test_null_and_large_keys(spark):
+    big = 2**60 + 1
+    text = "[2024-01-01 00:00:00] a b: " + langid.SEEDS["de"][:80] + ". mail ann.lee@hexby.example please\n\n" + ITEM
+    rows = spark.createDataFrame([(big, text, "en"), (None, text, "en"), (big + 2, None, None)], "k long, text string, lang string")
+    labelled = langid.label_sentences(rows, "k", "text", {c: langid.dictionary([s]) for c, s in langid.SEEDS.items()})
+    assert {r.k for r in labelled.collect()} == {big, None}
+    assert {r.k for r in pii.redact(rows, "k", "text").collect()} == {big, None, big + 2}
+    items = spark.createDataFrame([(big, ITEM), (big + 1, ITEM.replace("Ellhol", "Grisor"))], "item_id long, text string")
+    assert {(r.k, r.item_id) for r in leakage.leaks(rows, "k", "text", items, "item_id", "text").collect()} == {(big, big), (None, big)}
+    assert {r.k for r in packing.pack(rows, "k", "text").collect()} == {big, None}
+    labels = spark.createDataFrame([], "doc_id long, category string")
+    assert {r.k for r in moderation.score(rows, "k", "text", labels).collect()} == {big, None, big + 2}
