@@ -36,7 +36,8 @@ class HistoryReader(DataSourceReader):
             s = stats.get(name)
             if s is None or not s.has_min_max:
                 continue
-            if (operation in (">", ">=", "==") and s.max < value) or (operation in ("<", "<=", "==") and s.min > value):
+            above, below = (operation == ">" and s.max <= value), (operation == "<" and s.min >= value)
+            if above or below or (operation in (">=", "==") and s.max < value) or (operation in ("<=", "==") and s.min > value):
                 return False
         return True
 
