@@ -54,3 +54,11 @@ def fetch(files: DataFrame, download: Callable[[dict], None], workers: int = 8)
             yield pdf[["chat_id", "directory", "disk_name"]].assign(error=errors)
 
     return files.repartition(workers).mapInPandas(run, "chat_id long, directory string, disk_name string, error string")
+
+
+def avatars(messages: DataFrame) -> DataFrame:
+    """Photos set for each chat, oldest first; a chat has few of them beside its messages."""
+    photo = F.col("new_chat_photo")
+    rows = messages.where(photo["kind"].isNotNull()).select("chat_id", "id", "arrival_seq", photo["file_unique_id"].alias("photo"))
+    listed = F.array_sort(F.collect_list(F.struct("id", "arrival_seq", "photo")))
+    return rows.groupBy("chat_id").agg(F.transform(listed, lambda x: x["photo"]).alias("photos"))

@@ -66,3 +66,33 @@ def keyset_page(rows: DataFrame, order: list[str], after: tuple | None = None, s
 def clean_title(title: Column) -> Column:
     """White space of any kind as single blanks, none at the ends."""
     return F.trim(F.regexp_replace(title, r"[\s\p{Z}]+", " "))
+
+
+def forum_flags(state: DataFrame, channels: DataFrame) -> DataFrame:
+    """Whether each chat is a forum: a supergroup that the channel rows call one; unknown channels are none.
+
+    Of several channel rows of one id the first by ``ord`` counts, if there is such a column, else any true one.
+    """
+    if "ord" in channels.columns:
+        flag = F.min_by("is_forum", "ord")
+    else:
+        flag = F.bool_or("is_forum")
+    known = channels.groupBy("id").agg(flag.alias("is_forum"))
+    kind = F.substring_index("chat_type", ".", -1)
+    joined = state.select("id", "chat_type").join(known, "id", "left")
+    return joined.select("id", (F.coalesce("is_forum", F.lit(False)) & F.coalesce(kind == "SUPERGROUP", F.lit(False))).alias("is_forum"))
+
+
+def topic_entries(objects: DataFrame, payload: str = "payload") -> DataFrame:
+    """Id and title of tagged topic objects; objects of another tag are skipped."""
+    v = F.try_parse_json(F.col(payload))
+    rest = [c for c in objects.columns if c != payload]
+    tagged = objects.select(*rest, v.alias("_v")).where(F.try_variant_get("_v", "$._", "string") == "ForumTopic")
+    return tagged.select(
+        *rest, F.try_variant_get("_v", "$.id", "bigint").alias("topic_id"), F.try_variant_get("_v", "$.title", "string").alias("title")
+    ).where("topic_id is not null")
+
+
+def topics_by_id(topics: DataFrame, ids: list[int]) -> DataFrame:
+    """Point look-up; the list reaches the scan as a filter."""
+    return topics.where(F.col("topic_id").isin(ids))

@@ -113,6 +113,11 @@ def oracle_sql() -> dict[str, str]:
         "topic_exists": "select chat_id, id, reply_to_top_message_id, arrival_seq from messages m where exists (select 1 from topics t where t.chat_id = m.chat_id and t.topic_id = m.reply_to_top_message_id)",
         "topic_unknown": "select distinct chat_id, reply_to_top_message_id from messages m where reply_to_top_message_id is not null and not exists (select 1 from topics t where t.chat_id = m.chat_id and t.topic_id = m.reply_to_top_message_id)",
         "keyset_page": "select chat_id, topic_id, max(title) as title from topics group by 1, 2 having topic_id < 40 or (topic_id = 40 and chat_id < 0) order by topic_id desc, chat_id desc limit 100",
+        "forum_chats": f"select id, coalesce(chat_type = 'SUPERGROUP' and id in (select chat_id from topics), false) as is_forum from {CURRENT}",
+        "topic_lookup": "select chat_id, topic_id, title from topics where topic_id in (3, 8, 11, 13, 24)",
+        "chat_avatars": "select chat_id, count(*) as n_photos, string_agg(new_chat_photo.file_unique_id, ',' order by id, arrival_seq) as photos from messages where new_chat_photo is not null group by 1",
+        "media_queue": "select chat_id, count(*) as n_files, cast(sum(file_size) as bigint) as total_bytes from media_manifest where raw_file_id is not null group by 1",
+        "message_media_split": f"select chat_id, count(*) as n_messages, count({MEDIA}) as n_medias from messages group by 1",
         "topic_lines": "select chat_id, topic_id, title || chr(9) || 'end' as title from topics where topic_id % 5 > 1",
         "topics_fallback": "select chat_id, k as topic_id, case k % 3 when 0 then 'json' else 'text' end as title from (select chat_id, min(topic_id) as k from topics group by 1) where k % 3 < 2",
         "event_text_case": f"select chat_id, id, arrival_seq, {EVENT} as event from messages where {EVENT} is not null",

@@ -164,6 +164,33 @@ def keyset_page(spark: SparkSession, d: str) -> DataFrame:
     return topics.keyset_page(t, ["topic_id", "chat_id"], (40, 0), PAGE)
 
 
+def forum_chats(spark: SparkSession, d: str) -> DataFrame:
+    """Chats with topics are taken for forum channels."""
+    channels = table(spark, d, "topics").groupBy(F.col("chat_id").alias("id")).agg(F.lit(True).alias("is_forum"))
+    return topics.forum_flags(state.current_state(table(spark, d, "chat_state")), channels)
+
+
+def topic_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return topics.topics_by_id(table(spark, d, "topics"), [3, 8, 11, 13, 24]).select("chat_id", "topic_id", "title")
+
+
+def chat_avatars(spark: SparkSession, d: str) -> DataFrame:
+    listed = media.avatars(table(spark, d, "messages"))
+    return listed.select("chat_id", F.size("photos").cast("long").alias("n_photos"), F.array_join("photos", ",").alias("photos"))
+
+
+def media_queue(spark: SparkSession, d: str) -> DataFrame:
+    """Files to fetch per chat."""
+    files = table(spark, d, "media_manifest").where("raw_file_id is not null")
+    return files.groupBy("chat_id").agg(F.count(F.lit(1)).alias("n_files"), F.sum("file_size").alias("total_bytes"))
+
+
+def message_media_split(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that each of the two lake tables gets, by chat."""
+    m = table(spark, d, "messages")
+    return m.groupBy("chat_id").agg(F.count(F.lit(1)).alias("n_messages"), F.count_if(fm.has_media(m)).alias("n_medias"))
+
+
 def topic_lines(spark: SparkSession, d: str) -> DataFrame:
     """Topics written as text lines, some malformed, read back."""
     t = table(spark, d, "topics")
@@ -287,6 +314,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         chat_mapping_dedup, chat_mapping_lines, dense_chat_type_counts, chat_progress, running_state, state_validation,
         tail_incremental, backfill_resume, backfill_batches, batch_counter, sync_state, live_high_water, live_stream,
         topic_titles, topic_upsert, topic_replace, topic_exists, topic_unknown, keyset_page, topic_lines,
+        forum_chats, topic_lookup, chat_avatars, media_queue, message_media_split,
         topics_fallback, event_text_case, author_label, text_render, text_concat, media_coalesce, media_filename,
         media_directories, skip_existing, human_readable_size, json_props, tagged_load, paged_history,
         media_slots_used, p4_found, p4_nodes, p4_users, p5_found, p5_messages,

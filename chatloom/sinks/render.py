@@ -94,3 +94,15 @@ def dump_mapping(rows: DataFrame, key: str, name: str, json_path: str, text_path
     pairs = [tuple(r) for r in rows.select(key, name).toLocalIterator()]
     replace_text(json_path, json.dumps({str(k): v for k, v in pairs}, ensure_ascii=False, indent=2))
     replace_text(text_path, "".join(f"{k}\t{v}\n" for k, v in pairs))
+
+
+def dump_metadata(chats: DataFrame, name: str, folder: str, only_missing: bool = False) -> None:
+    """One ``<folder>/<id>/<name>.json`` per row with all its columns; with ``only_missing`` existing files stay."""
+
+    def write(part) -> None:
+        for row in part:
+            path = f"{folder}/{row.id}/{name}.json"
+            if not (only_missing and os.path.exists(path)):
+                replace_text(path, json.dumps(json.loads(row.item), ensure_ascii=False, indent=2))
+
+    chats.select("id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("item")).foreachPartition(write)

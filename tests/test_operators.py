@@ -6,6 +6,7 @@ import pytest
 
 from chatloom.config import SyncConfig, bool_setting, int_setting, text_setting
 from chatloom.operators import media, state, sync, topics
+from chatloom.operators.resume import ResumeIndex
 from chatloom.sinks import lake, render
 from chatloom.sources import files
 from chatloom.streaming import live
@@ -184,3 +185,34 @@ def test_tagged_rows(spark):
     assert [(r.tag, r.User.id) for r in got] == [("User", 3)]
     with pytest.raises(Exception, match="no type for tag"):
         files.load_tagged(rows, {"User": "id long"}).collect()
+
+
+def test_forum_flags_and_entries(spark):
+    s = spark.createDataFrame([(1, "SUPERGROUP"), (2, "ChatType.SUPERGROUP"), (3, "GROUP"), (4, None)], "id long, chat_type string")
+    channels = spark.createDataFrame([(1, True, 2), (1, False, 1), (2, True, 1), (3, True, 1)], "id long, is_forum boolean, ord long")
+    assert {r.id: r.is_forum for r in topics.forum_flags(s, channels).collect()} == {1: False, 2: True, 3: False, 4: False}
+    objects = spark.createDataFrame([('{"_": "ForumTopic", "id": 3, "title": "T"}',), ('{"_": "Other", "id": 4}',), ("{",)], "payload string")
+    assert [tuple(r) for r in topics.topic_entries(objects).collect()] == [(3, "T")]
+
+
+def test_metadata_files(spark, tmp_path):
+    chats = spark.createDataFrame([(1, "a"), (2, None)], "id long, title string")
+    render.dump_metadata(chats, "info", str(tmp_path))
+    render.dump_metadata(spark.createDataFrame([(1, "b"), (3, "c")], "id long, title string"), "info", str(tmp_path), only_missing=True)
+    assert {p.parent.name: json.loads(p.read_text())["title"] for p in tmp_path.rglob("info.json")} == {"1": "a", "2": None, "3": "c"}
+
+
+def test_resume_repeats_at_most_one(tmp_path):
+    path, seen = str(tmp_path / "p.json"), []
+    for limit in (2, 3, 9):
+        for item in ResumeIndex("abcdef", path):
+            seen.append(item)
+            limit -= 1
+            if not limit:
+                break
+    assert "".join(seen) == "abbcdcdef"[:2] + "bcd" + "def"
+    (tmp_path / "p.json").write_text("true")
+    with pytest.raises(TypeError):
+        ResumeIndex("a", path).done()
+    with pytest.raises(ValueError):
+        ResumeIndex("a", str(tmp_path / "no" / "p.json"))
