@@ -133,6 +133,7 @@ def oracle_sql() -> dict[str, str]:
         "json_props": "select event_type, cast(props ->> '$.k' as int) as k, count(*) as n from events group by 1, 2",
         "tagged_load": "select raw_id, payload ->> '$._' as tag, cast(payload ->> '$.id' as bigint) as id, payload ->> '$.date' as date from raw_messages where json_valid(payload) and payload ->> '$._' = 'Message'",
         "paged_history": "select chat_id, count(*) as n, max(id) as latest_message_id from messages where id < 20 group by 1",
+        "paged_history_whole": "select chat_id, count(*) as n, max(id) as latest_message_id from messages group by 1",
         "media_slots_used": " union all ".join(f"select '{s}' as slot, count({s}) as n_messages from messages" for s in MEDIA_SLOTS),
         "p4_found": """with n as (select raw_id, t.path as node_path from raw_messages r, json_tree(r.payload) t where json_valid(r.payload) and t.key = '_')
             select n.raw_id, n.node_path, max_by(p.node_path, length(p.node_path)) as parent_path from n left join n p on p.raw_id = n.raw_id

@@ -265,11 +265,21 @@ def tagged_load(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("raw_id", "tag", F.col("Message.id").alias("id"), F.col("Message.date").alias("date"))
 
 
-def paged_history(spark: SparkSession, d: str) -> DataFrame:
+def _history(spark: SparkSession, d: str) -> DataFrame:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(HistorySource)
-    history = spark.read.format("chat_history").option("path", f"{d}/messages.parquet").load()
-    return history.where("id < 20").groupBy("chat_id").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("latest_message_id"))
+    return spark.read.format("chat_history").option("path", f"{d}/messages.parquet").load()
+
+
+def paged_history(spark: SparkSession, d: str) -> DataFrame:
+    """The first ids of each chat, by a bound pushed into the scan."""
+    history = _history(spark, d).where("id < 20")
+    return history.groupBy("chat_id").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("latest_message_id"))
+
+
+def paged_history_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of the table through the paged source."""
+    return _history(spark, d).groupBy("chat_id").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("latest_message_id"))
 
 
 def media_slots_used(spark: SparkSession, d: str) -> DataFrame:
@@ -317,6 +327,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         forum_chats, topic_lookup, chat_avatars, media_queue, message_media_split,
         topics_fallback, event_text_case, author_label, text_render, text_concat, media_coalesce, media_filename,
         media_directories, skip_existing, human_readable_size, json_props, tagged_load, paged_history,
-        media_slots_used, p4_found, p4_nodes, p4_users, p5_found, p5_messages,
+        paged_history_whole, media_slots_used, p4_found, p4_nodes, p4_users, p5_found, p5_messages,
     )
     return {f.__name__: f for f in named}

@@ -7,6 +7,7 @@ import pyarrow.parquet as pq
 from pyspark.sql.datasource import EqualTo, GreaterThan, IsNotNull, LessThan
 
 from chatloom.operators import blocks, sync
+from chatloom.plans.queries import queries
 from chatloom.schemas import MESSAGES
 from chatloom.sources.paged import HistoryReader, HistorySource
 from chatloom.streaming import live
@@ -36,6 +37,12 @@ def test_source_equals_a_parquet_scan(spark, tmp_path):
     assert spark.read.format("chat_history").option("path", path).load().where("id < 0").count() == 0
 
 
+def test_whole_history_is_counted(spark, tmp_path):
+    history(tmp_path / "messages.parquet")
+    got = {tuple(r) for r in queries()["paged_history_whole"](spark, str(tmp_path)).collect()}
+    assert got == {(c, len(range(c, 1000, 7)), max(range(c, 1000, 7))) for c in range(7)}
+
+
 def test_state_lasts_over_micro_batches(spark, tmp_path):
     random.seed(4)
     rows = [(random.choice([1, 2, 3]), random.randrange(200), k) for k in range(400)]
