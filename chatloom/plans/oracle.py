@@ -62,6 +62,8 @@ FILES = f"""
 """
 TOPIC_OLD = "(select chat_id, topic_id, min(title) as title from topics where topic_id % 3 <> 0 group by 1, 2)"
 TOPIC_NEW = "(select chat_id, topic_id, max(title) as title from topics where topic_id % 2 = 0 group by 1, 2)"
+TOPIC_FIRST = "(select chat_id, topic_id, min(title) as title from topics group by 1, 2)"
+TOPIC_RENAMED = "(select chat_id, topic_id, max(title) as title from topics group by 1, 2 having count(distinct title) > 1)"
 CHUNKS = (
     "(select *, (row_number() over (partition by chat_id order by id desc, arrival_seq) - 1) // {n} as batch_no from messages)"
 )
@@ -110,6 +112,8 @@ def oracle_sql() -> dict[str, str]:
         "topic_titles": "select chat_id, topic_id, trim(regexp_replace(title, '[\\s\\p{Z}]+', ' ', 'g')) as title from topics",
         "topic_upsert": f"select * from {TOPIC_NEW} union all select o.* from {TOPIC_OLD} o where not exists (select 1 from {TOPIC_NEW} n where n.chat_id = o.chat_id and n.topic_id = o.topic_id)",
         "topic_replace": f"select * from {TOPIC_NEW} union all select o.* from {TOPIC_OLD} o where o.chat_id not in (select chat_id from {TOPIC_NEW})",
+        "topic_upsert_whole": f"select * from {TOPIC_RENAMED} union all select o.* from {TOPIC_FIRST} o where not exists (select 1 from {TOPIC_RENAMED} n where n.chat_id = o.chat_id and n.topic_id = o.topic_id)",
+        "topic_replace_whole": f"with fresh as (select chat_id, topic_id, max(title) as title from topics where chat_id in (select chat_id from {TOPIC_RENAMED}) group by 1, 2) select * from fresh union all select o.* from {TOPIC_FIRST} o where o.chat_id not in (select chat_id from fresh)",
         "topic_exists": "select chat_id, id, reply_to_top_message_id, arrival_seq from messages m where exists (select 1 from topics t where t.chat_id = m.chat_id and t.topic_id = m.reply_to_top_message_id)",
         "topic_unknown": "select distinct chat_id, reply_to_top_message_id from messages m where reply_to_top_message_id is not null and not exists (select 1 from topics t where t.chat_id = m.chat_id and t.topic_id = m.reply_to_top_message_id)",
         "keyset_page": "select chat_id, topic_id, max(title) as title from topics group by 1, 2 having topic_id < 40 or (topic_id = 40 and chat_id < 0) order by topic_id desc, chat_id desc limit 100",

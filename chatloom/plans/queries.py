@@ -149,6 +149,26 @@ def topic_replace(spark: SparkSession, d: str) -> DataFrame:
     return topics.upsert_topics(*_topic_sides(spark, d), full=True)
 
 
+def _whole_topic_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All topics under their first title; those listed under several titles, under their last."""
+    named = table(spark, d, "topics").groupBy("chat_id", "topic_id").agg(
+        F.min("title").alias("first"), F.max("title").alias("last")
+    )
+    old = named.select("chat_id", "topic_id", F.col("first").alias("title"))
+    return old, named.where("first <> last").select("chat_id", "topic_id", F.col("last").alias("title"))
+
+
+def topic_upsert_whole(spark: SparkSession, d: str) -> DataFrame:
+    return topics.upsert_topics(*_whole_topic_sides(spark, d))
+
+
+def topic_replace_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Chats with a renamed topic are refreshed with all their topics."""
+    old, renamed = _whole_topic_sides(spark, d)
+    last = table(spark, d, "topics").groupBy("chat_id", "topic_id").agg(F.max("title").alias("title"))
+    return topics.upsert_topics(old, last.join(renamed.select("chat_id").distinct(), "chat_id", "left_semi"), full=True)
+
+
 def topic_exists(spark: SparkSession, d: str) -> DataFrame:
     found = topics.threads_with_topic(table(spark, d, "messages"), table(spark, d, "topics"))
     return found.select("chat_id", "id", "reply_to_top_message_id", "arrival_seq")
@@ -323,7 +343,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         bucket_rollup, week_bucket_counts, state_merge, current_state, ensure_chat_state, chat_brief,
         chat_mapping_dedup, chat_mapping_lines, dense_chat_type_counts, chat_progress, running_state, state_validation,
         tail_incremental, backfill_resume, backfill_batches, batch_counter, sync_state, live_high_water, live_stream,
-        topic_titles, topic_upsert, topic_replace, topic_exists, topic_unknown, keyset_page, topic_lines,
+        topic_titles, topic_upsert, topic_replace, topic_upsert_whole, topic_replace_whole, topic_exists, topic_unknown, keyset_page, topic_lines,
         forum_chats, topic_lookup, chat_avatars, media_queue, message_media_split,
         topics_fallback, event_text_case, author_label, text_render, text_concat, media_coalesce, media_filename,
         media_directories, skip_existing, human_readable_size, json_props, tagged_load, paged_history,

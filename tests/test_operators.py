@@ -7,6 +7,7 @@ import pytest
 from chatloom.config import SyncConfig, bool_setting, int_setting, text_setting
 from chatloom.operators import media, state, sync, topics
 from chatloom.operators.resume import ResumeIndex
+from chatloom.plans.queries import queries
 from chatloom.sinks import lake, render
 from chatloom.sources import files
 from chatloom.streaming import live
@@ -216,3 +217,11 @@ def test_resume_repeats_at_most_one(tmp_path):
         ResumeIndex("a", path).done()
     with pytest.raises(ValueError):
         ResumeIndex("a", str(tmp_path / "no" / "p.json"))
+
+
+def test_every_topic_comes_out(spark, tmp_path):
+    rows = [(c, t, f"{c}-{t}") for c in (1, 2, None) for t in range(13)] + [(1, 3, "renamed"), (1, 4, None)]
+    spark.createDataFrame(rows, "chat_id long, topic_id long, title string").write.parquet(str(tmp_path / "topics.parquet"))
+    want = {r for r in rows if r[2] and r != (1, 3, "1-3")}
+    for name in ("topic_upsert_whole", "topic_replace_whole"):
+        assert sorted(map(tuple, queries()[name](spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
