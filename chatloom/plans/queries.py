@@ -324,12 +324,25 @@ def p4_users(spark: SparkSession, d: str) -> DataFrame:
     return users.select("raw_id", "node_path", "parent_path", "id", "first_name")
 
 
+def _deliveries(messages: DataFrame, batches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Committed backfill batches are the history, all other rows arrive after it."""
+    old = batches.where("phase = 'backfill' and committed").select("batch_id").distinct()
+    history, incoming = messages.join(old, "batch_id", "left_semi"), messages.join(old, "batch_id", "left_anti")
+    return history.select(*messages.columns), incoming.select(*messages.columns)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Copies to be removed: committed backfill batches are the history, all other rows arrive after it."""
+    """Copies to be removed."""
     m = table(spark, d, "messages").select("chat_id", "id", "arrival_seq", "batch_id")
-    old = table(spark, d, "export_batches").where("phase = 'backfill' and committed").select("batch_id").distinct()
-    history, incoming = m.join(old, "batch_id", "left_semi"), m.join(old, "batch_id", "left_anti")
-    return delivery.deduplicate(history.select(*m.columns), incoming.select(*m.columns), delivery.DeliveryStore(spark))
+    return delivery.deduplicate(*_deliveries(m, table(spark, d, "export_batches")), delivery.DeliveryStore(spark))
+
+
+def p5_whole_messages(spark: SparkSession, d: str) -> DataFrame:
+    """One copy of each message with all its columns, read out of the store after both merges."""
+    m, store = table(spark, d, "messages"), delivery.DeliveryStore(spark)
+    for rows in _deliveries(m, table(spark, d, "export_batches")):
+        store.merge(rows)
+    return store.rows(m.schema)
 
 
 def p5_messages(spark: SparkSession, d: str) -> DataFrame:
@@ -347,6 +360,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         forum_chats, topic_lookup, chat_avatars, media_queue, message_media_split,
         topics_fallback, event_text_case, author_label, text_render, text_concat, media_coalesce, media_filename,
         media_directories, skip_existing, human_readable_size, json_props, tagged_load, paged_history,
-        paged_history_whole, media_slots_used, p4_found, p4_nodes, p4_users, p5_found, p5_messages,
+        paged_history_whole, media_slots_used, p4_found, p4_nodes, p4_users, p5_found, p5_messages, p5_whole_messages,
     )
     return {f.__name__: f for f in named}

@@ -4,6 +4,8 @@ import random
 from collections import Counter, defaultdict
 
 from chatloom.operators import delivery
+from chatloom.plans.queries import queries
+from chatloom.schemas import MESSAGES
 
 SCHEMA = "chat_id long, id long, arrival_seq long, text string"
 
@@ -59,3 +61,21 @@ def test_ties_repeated_and_extra_columns(spark):
 def test_hot_identifier(spark):
     frame = spark.range(30_000).selectExpr("1L as chat_id", "if(id % 3 = 0, 7L, id) as id", "id as arrival_seq", "'t' as text")
     assert delivery.removed_copies(frame).count() == 30_000 - frame.select("id").distinct().count()
+
+
+def test_whole_messages_come_out_of_the_store(spark, tmp_path):
+    def message(i, seq, **more):
+        return {f.name: None for f in MESSAGES.fields} | {"chat_id": 1, "id": i, "arrival_seq": seq, "batch_id": seq % 3} | more
+
+    photo = {f: None for f in MESSAGES["photo"].dataType.names} | {"kind": "photo", "file_id": "f", "file_size": 5}
+    user = {"id": 9, "first_name": "Ann", "last_name": None, "username": None}
+    rows = [
+        message(1, 1, photo=photo, from_user=user), message(1, 3, text="late"), message(2, 6, new_chat_title="t", new_chat_members=[user]),
+        message(2, 2, pinned_message={"id": 1}), message(3, 4, text="x", batch_id=None),
+    ]
+    spark.createDataFrame(rows, MESSAGES).write.parquet(str(tmp_path / "messages.parquet"))
+    batches = spark.createDataFrame([(0, "backfill", True), (1, "backfill", False), (2, "live", True)], "batch_id long, phase string, committed boolean")
+    batches.write.parquet(str(tmp_path / "export_batches.parquet"))
+    got = queries()["p5_whole_messages"](spark, str(tmp_path))
+    assert got.columns == MESSAGES.names
+    assert sorted((r.asDict(True) for r in got.collect()), key=lambda r: r["id"]) == [rows[0], rows[3], rows[4]]
