@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chatloom.storage import restored_key
+from chatloom.storage import new_path, restored_key, written
 
 NODE_FIELDS = (
     "node_path string, parent_path string, label string, schema_path string, kind string, fields map<string,string>"
@@ -193,3 +193,17 @@ def flat_tables(nodes: DataFrame, key: str) -> dict[str, DataFrame]:
             columns.append(F.element_at("fields", F.lit(field)).alias(name))
         tables[k] = nodes.where(F.col("kind") == k).select(*links, *columns)
     return tables
+
+
+def write_tables(nodes: DataFrame, key: str) -> DataFrame:
+    """Writes the flat table of every kind to the shared folder: one row per kind with its path, rows and fields.
+
+    The nodes are written once, so that records are parsed once for all kinds. Nodes with null ``kind`` are in no table.
+    """
+    spark, base = nodes.sparkSession, new_path(nodes.sparkSession, "tables")
+    made = []
+    for n, (kind, rows) in enumerate(sorted(flat_tables(written(nodes, "nodes"), key).items())):
+        path = f"{base}/{n}"
+        rows.write.parquet(path)
+        made.append((kind, path, spark.read.schema(rows.schema).parquet(path).count(), len(rows.columns) - 4))
+    return spark.createDataFrame(made, "kind string, path string, n_rows long, n_fields long")

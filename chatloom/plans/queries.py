@@ -324,6 +324,12 @@ def p4_users(spark: SparkSession, d: str) -> DataFrame:
     return users.select("raw_id", "node_path", "parent_path", "id", "first_name")
 
 
+def p4_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The flat tables of all kinds with all their fields, and where each was written."""
+    nodes = nested.flatten(table(spark, d, "raw_messages"), "raw_id", "payload")
+    return nested.write_tables(nodes, "raw_id")
+
+
 def _deliveries(messages: DataFrame, batches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Committed backfill batches are the history, all other rows arrive after it."""
     old = batches.where("phase = 'backfill' and committed").select("batch_id").distinct()
@@ -360,6 +366,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         forum_chats, topic_lookup, chat_avatars, media_queue, message_media_split,
         topics_fallback, event_text_case, author_label, text_render, text_concat, media_coalesce, media_filename,
         media_directories, skip_existing, human_readable_size, json_props, tagged_load, paged_history,
-        paged_history_whole, media_slots_used, p4_found, p4_nodes, p4_users, p5_found, p5_messages, p5_whole_messages,
+        paged_history_whole, media_slots_used, p4_found, p4_nodes, p4_users, p4_tables, p5_found, p5_messages,
+        p5_whole_messages,
     )
     return {f.__name__: f for f in named}

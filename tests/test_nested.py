@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from chatloom.operators import nested
+from chatloom.plans.queries import queries
 
 
 def brute(value, path="$", parent=None):
@@ -76,3 +77,15 @@ def test_clashing_field_names(spark):
 def test_null_and_large_keys(spark):
     frame = spark.createDataFrame([(2**60 + 1, '{"_": 1}'), (None, '{"_": 1}')], "raw_id long, payload string")
     assert {r.raw_id for r in nested.flatten(frame, "raw_id", "payload").collect()} == {2**60 + 1, None}
+
+
+def test_every_kind_gets_its_table(spark, tmp_path):
+    rows = [(1, '{"_": "A", "n": 1, "u": {"_": "User", "id": 7, "x y": [true, null]}}'), (2, '{"_": "A", "m": "t", "e": [{"_": "E/1"}, {"_": "User"}]}')]
+    spark.createDataFrame(rows, "raw_id long, payload string").write.parquet(str(tmp_path / "raw_messages.parquet"))
+    listed = queries()["p4_tables"](spark, str(tmp_path)).collect()
+    assert {(r.kind, r.n_rows, r.n_fields) for r in listed} == {("A", 2, 2), ("E/1", 1, 0), ("User", 2, 3)}
+    tables = {r.kind: [x.asDict() for x in spark.read.parquet(r.path).orderBy("raw_id").collect()] for r in listed}
+    links = {"raw_id": 1, "node_path": "$.u", "parent_path": "$", "schema_path": "$.u"}
+    assert tables["User"][0] == links | {"id": "7", "x y[0]": "true", "x y[1]": None}
+    assert [(r["n"], r["m"]) for r in tables["A"]] == [("1", None), (None, "t")]
+    assert tables["E/1"][0]["parent_path"] == "$"
