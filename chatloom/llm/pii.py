@@ -5,8 +5,8 @@ that tell whether a word occurs as a given or family name in the sender labels o
 sets of a fixed size, filled from all rows. A decoded span counts if it passes an exact check of its kind (an address
 sign and a domain, 7 to 15 digits, a number in the address, two words in a name).
 
-Defined results: sender labels and time stamps are not searched; a text without such a head is one message; null texts
-stay null and give no rows; empty texts stay empty. Repeated rows are handled one by one, texts of any length whole.
+Defined results: sender labels and time stamps are not searched; a text without such a head is one message; what
+stands before the first head is searched too, as message -1, which does not count as a message; null texts stay null and give no rows; empty texts stay empty. Repeated rows are handled one by one, texts of any length whole.
 """
 
 from __future__ import annotations
@@ -35,12 +35,13 @@ _DOT = re.compile(r"\.\w|\bdot\b", re.I)
 TITLES = {"dr", "mr", "mrs", "ms", "prof", "herr", "frau", "mme", "sr", "sra"}
 
 
-def message_bodies(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the body of each message."""
+def message_bodies(text: str) -> list[tuple[int, int, int]]:
+    """(number, start, end) of the body of each message; a non-blank part before the first head has number -1."""
     heads = list(_HEAD.finditer(text))
     if not heads:
-        return [(0, len(text))]
-    return [(m.end(), n.start() if n else len(text)) for m, n in zip(heads, [*heads[1:], None], strict=True)]
+        return [(0, 0, len(text))]
+    bodies = [(i, m.end(), n.start() if n else len(text)) for i, (m, n) in enumerate(zip(heads, [*heads[1:], None], strict=True))]
+    return [(-1, 0, heads[0].start()), *bodies] if text[: heads[0].start()].strip() else bodies
 
 
 def name_bit(word: str) -> int:
@@ -125,7 +126,7 @@ class Tagger:
         vocabulary = crf.Vocabulary(self.flags)
         rows = []
         for i, text in enumerate(texts):
-            for number, (start, end) in enumerate(message_bodies(text)):
+            for number, start, end in message_bodies(text):
                 tokens = [(start + a, start + b, w, g) for a, b, w, g in crf.tokens_of(text[start:end])]
                 if tokens:
                     rows.append((i, number, tokens, np.array([vocabulary.add(w, g) for _, _, w, g in tokens], np.int32)))
@@ -202,7 +203,7 @@ def _tagged(records: DataFrame, key: str, text: str, schema: str, rows_of: Calla
 
 
 def find(records: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per span: message number, offsets in the text, kind."""
+    """One row per span: message number (-1 before the first head), offsets in the text, kind."""
     rows_of = lambda k, raw, t, spans: [(k, *s) for s in spans]
     return _tagged(records, key, text, "line_no long, start long, end long, kind string", rows_of)
 

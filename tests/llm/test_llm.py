@@ -336,3 +336,13 @@ def test_null_and_large_keys(spark):
     assert {r.k for r in packing.pack(rows, "k", "text").collect()} == {big, None}
     labels = spark.createDataFrame([], "doc_id long, category string")
     assert {r.k for r in moderation.score(rows, "k", "text", labels).collect()} == {big, None, big + 2}
+
+
+def test_personal_data_before_the_first_head(tagger):
+    rest = "[2024-01-01 10:00:00] Bob: call +44 7700 900124 please\n\n"
+    text = "reach me at ann.lee@hexby.example or +44 7700 900123\n\n" + rest
+    found, plain = tagger.spans([text, " \n" + rest])
+    assert [(n, k) for n, _, _, k in found] == [(-1, "email"), (-1, "phone"), (0, "phone")]
+    assert [(n, k) for n, _, _, k in plain] == [(0, "phone")]
+    want = text.replace("+44 7700 900123", "[PHONE]").replace("+44 7700 900124", "[PHONE]")
+    assert pii.redacted(text, found) == want.replace("ann.lee@hexby.example", "[EMAIL]")
