@@ -1,9 +1,12 @@
 """Exactly one copy of each message out of at-least-once deliveries.
 
-A :class:`DeliveryStore` keeps one copy per (chat_id, id) in partitions of id blocks. A merge looks up in the
-identifier index which partitions hold ids of the incoming rows, reads only those, picks one winner per id among old
-and new copies and writes the partitions anew; one renamed manifest file makes all of them visible at once. Partitions
-that share no id with the incoming rows get their rows appended without being read.
+A :class:`DeliveryStore` keeps one copy per (chat_id, id) in partitions of id blocks. The partition follows from the
+key, so a merge knows which partitions its rows can touch; it looks up in their part of the identifier index which of
+them hold ids of the incoming rows, reads only those, picks one winner per id among old and new copies and writes the
+partitions anew; one renamed manifest file makes all of them visible at once. Partitions that share no id with the
+incoming rows get their rows appended without being read. The number of partitions follows the number of rows: it is
+set by the first rows and doubled by a rewrite when the store has outgrown it, so that a merge costs what its own
+partitions cost however long the history is.
 
 The copy with the lowest ``arrival_seq`` wins; null comes last, and copies with equal ``arrival_seq`` are taken in the
 order of a hash of their other columns. Copies equal in every column are interchangeable: one stays. Rows without
@@ -13,18 +16,27 @@ order of a hash of their other columns. Copies equal in every column are interch
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.storage import delete_path, new_path
+from chatloom.storage import delete_path, new_path, written
 
 KEY = ("chat_id", "id")
 ORDER = "arrival_seq"
+KNOWN = "chat_id is not null and id is not null"
+#: Rows of a partition: aimed at, and the factor by which a store may outgrow its partitions before it is divided anew.
+PARTITION_ROWS, OUTGROWN = 1 << 20, 4
+#: Least number of partitions; they are also the tasks that write.
+LEAST_PARTITIONS = 8
 
 
 def _partition(partitions: int, block: int) -> Column:
-    """Blocks of neighbouring ids of one chat share a partition; hashing the block spreads a large chat."""
+    """Blocks of neighbouring ids of one chat share a partition; hashing the block spreads a large chat.
+
+    Doubling the number sends the rows of a partition to two partitions and no others there.
+    """
     return F.pmod(F.xxhash64("chat_id", F.floor(F.col("id") / block)), F.lit(partitions)).cast("int")
 
 
@@ -35,7 +47,7 @@ def copies(rows: DataFrame) -> DataFrame:
 
 def removed_copies(rows: DataFrame) -> DataFrame:
     """Each copy that is not the first delivery of its message, one row per copy."""
-    counted = copies(rows.where("chat_id is not null and id is not null").select(*KEY, ORDER))
+    counted = copies(rows.where(KNOWN).select(*KEY, ORDER))
     first = counted.groupBy(*KEY).agg(
         F.min(ORDER).alias("_first"), F.sum("n").alias("_all"), F.count(F.lit(1)).alias("_distinct")
     ).where("_all > 1")
@@ -46,29 +58,48 @@ def removed_copies(rows: DataFrame) -> DataFrame:
     return spread.select(*KEY, ORDER, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_extra"))).alias("_i")).drop("_i")
 
 
+def _unused(rows: DataFrame, name: str) -> str:
+    """A column name that the rows do not have, in any letter case."""
+    taken = {c.lower() for c in rows.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def _content(rows: DataFrame) -> Column:
+    """Tells copies apart that share their place in the order of delivery; maps cannot be hashed and go as JSON."""
+    rest = [f for f in rows.schema.fields if f.name not in (*KEY, ORDER)]
+    return F.xxhash64(*(F.to_json(F.col(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in rest), F.lit(0))
+
+
 def first_copies(rows: DataFrame) -> DataFrame:
     """One whole row per message, rows without identity untouched.
 
-    Aggregation combines copies before the shuffle, so any number of copies of one id costs one row per task.
+    Which messages came more than once is counted on keys alone, in a hash aggregate that combines before the shuffle.
+    Only their rows are compared, and of those only the ones with the lowest ``arrival_seq``; all other rows pass by.
     """
+    known, lowest, row = rows.where(KNOWN), _unused(rows, "first"), _unused(rows, "row")
+    counted = known.select(*KEY, ORDER).groupBy(*KEY).agg(F.min(ORDER).alias(lowest), F.count(F.lit(1)).alias("n"))
+    several = counted.where("n > 1").drop("n")
+    single = known.join(several, [*KEY], "left_anti")
+    first = known.join(several, [*KEY]).where(F.col(ORDER).eqNullSafe(F.col(lowest))).drop(lowest)
     rest = [c for c in rows.columns if c not in KEY]
-    rank = F.struct(F.col(ORDER).isNull(), F.col(ORDER), F.xxhash64(*(F.to_json(F.struct(F.col(c))) for c in rest)))
-    known = rows.where("chat_id is not null and id is not null")
-    best = known.groupBy(*KEY).agg(F.min_by(F.struct(*rest), rank).alias("_row"))
-    whole = best.select(*KEY, *(F.col("_row").getField(c).alias(c) for c in rest)).select(*rows.columns)
-    return whole.unionByName(rows.where("chat_id is null or id is null"))
+    best = first.groupBy(*KEY).agg(F.min_by(F.struct(*rest), _content(rows)).alias(row))
+    whole = best.select(*KEY, *(F.col(row).getField(c).alias(c) for c in rest)).select(*rows.columns)
+    return single.select(*rows.columns).unionByName(whole).unionByName(rows.where("chat_id is null or id is null"))
 
 
 class DeliveryStore:
     """Partitioned store of first copies in a folder all executors share.
 
-    ``partitions`` bounds the manifest and the list of partitions the driver handles; ``block`` is the number of
-    neighbouring ids that stay together.
+    ``partitions`` is the number the first rows are divided into (by default their number over ``PARTITION_ROWS``);
+    ``block`` is the number of neighbouring ids that stay together. The driver handles lists of partition numbers, one
+    for about a million rows.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, partitions: int = 64, block: int = 1 << 14) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, partitions: int | None = None, block: int = 1 << 14) -> None:
         self.spark, self.path = spark, path or new_path(spark, "deliveries")
-        self.partitions, self.block = partitions, block
+        self.wanted, self.block = partitions, block
 
     # -- manifest -------------------------------------------------------------------------------------------------
 
@@ -82,7 +113,7 @@ class DeliveryStore:
         jvm, fs = self._fs()
         folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
         if not fs.exists(folder):
-            return {"version": 0, "rows": {}, "ids": {}}
+            return {"version": 0, "partitions": 0, "n_rows": 0, "rows": {}, "ids": {}}
         newest = max(int(s.getPath().getName().split(".")[0]) for s in fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
         stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest/{newest}.json"))
         try:
@@ -101,21 +132,27 @@ class DeliveryStore:
 
     # -- reading --------------------------------------------------------------------------------------------------
 
-    def _scan(self, what: str, schema, parts: list[int] | None = None) -> DataFrame:
-        folders = sorted({f for p, fs in self.manifest()[what].items() if parts is None or int(p) in parts for f in fs})
+    def _scan(self, manifest: dict, what: str, schema, parts: list[int] | None = None) -> DataFrame:
+        named = manifest[what] if parts is None else {p: manifest[what].get(str(p), []) for p in parts}
+        folders = sorted({f for fs in named.values() for f in fs})
         if not folders:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*folders)
 
     def rows(self, schema) -> DataFrame:
         """All stored rows."""
-        return self._scan("rows", schema)
+        return self._scan(self.manifest(), "rows", schema)
 
     def affected(self, incoming: DataFrame) -> list[int]:
-        """Partitions that hold an id of the incoming rows, by the identifier index; at most ``partitions`` numbers."""
-        keys = incoming.where("chat_id is not null and id is not null").select(*KEY).distinct()
-        ids = self._scan("ids", keys.schema)
-        hit = ids.join(keys, [*KEY], "left_semi").select(_partition(self.partitions, self.block).alias("p")).distinct()
+        """Partitions that hold an id of the incoming rows: those their keys fall into, checked in the identifier index."""
+        manifest = self.manifest()
+        if not manifest["partitions"]:
+            return []
+        keys = incoming.where(KNOWN).select(*KEY).distinct()
+        place = _partition(manifest["partitions"], self.block).alias("p")
+        possible = sorted(p for (p,) in keys.select(place).distinct().collect() if str(p) in manifest["ids"])
+        ids = self._scan(manifest, "ids", keys.schema, possible)
+        hit = ids.join(keys, [*KEY], "left_semi").select(place).distinct()
         return sorted(p for (p,) in hit.collect())
 
     # -- writing --------------------------------------------------------------------------------------------------
@@ -123,28 +160,68 @@ class DeliveryStore:
     def merge(self, incoming: DataFrame) -> DataFrame:
         """Adds incoming rows and returns every copy dropped by this merge, of old and new rows."""
         before = self.manifest()
-        version = before["version"] + 1
-        parts = self.affected(incoming) if before["rows"] else []
-        old = self._scan("rows", incoming.schema, parts)
-        union = old.unionByName(incoming)
-        kept = first_copies(union).withColumn("_p", F.coalesce(_partition(self.partitions, self.block), F.lit(self.partitions)))
-        folder = f"{self.path}/rows/v{version}"
-        kept.repartition("_p", F.pmod(F.xxhash64(*KEY), F.lit(4))).write.partitionBy("_p").parquet(folder)
-        stored = self.spark.read.option("basePath", folder).parquet(folder)
-        index = f"{self.path}/ids/v{version}"
-        stored.where("chat_id is not null and id is not null").select(*KEY, "_p").write.partitionBy("_p").parquet(index)
-        after = {"version": version, "rows": dict(before["rows"]), "ids": dict(before["ids"])}
+        parts = self.affected(incoming)
+        union = self._scan(before, "rows", incoming.schema, parts).unionByName(incoming)
+        removed = written(removed_copies(union), "removed-copies")
+        if not before["partitions"]:
+            before["partitions"] = self._partitions_for(incoming)
+        after = self._write(before, parts, first_copies(union))
+        if after["n_rows"] > OUTGROWN * PARTITION_ROWS * after["partitions"]:
+            self._write(after, [int(p) for p in after["rows"]], self._scan(after, "rows", incoming.schema), OUTGROWN * after["partitions"])
+        return removed
+
+    def _partitions_for(self, incoming: DataFrame) -> int:
+        if self.wanted:
+            return self.wanted
+        return 1 << (max(LEAST_PARTITIONS, incoming.count() // PARTITION_ROWS + 1) - 1).bit_length()
+
+    def _write(self, before: dict, replaced: list[int], kept: DataFrame, partitions: int | None = None) -> dict:
+        """Writes rows as the next version, in place of the replaced partitions and beside all others."""
+        version, number = before["version"] + 1, partitions or before["partitions"]
+        # Rows without identity lie beside the partitions, spread by delivery.
+        place = _unused(kept, "_p")
+        placed = kept.withColumn(place, F.coalesce(_partition(number, self.block), F.lit(-1)))
+        attempt = f"v{version}-{uuid.uuid4().hex[:8]}"
+        folder, index = f"{self.path}/rows/{attempt}", f"{self.path}/ids/{attempt}"
+        # One exchange brings a partition together; large ones are divided by size while it is read, small ones joined.
+        placed.hint("rebalance", place).write.partitionBy(place).parquet(folder)
+        stored = self.spark.read.option("basePath", folder).schema(placed.schema).parquet(folder)
+        stored.where(KNOWN).select(*KEY, place).write.partitionBy(place).parquet(index)
+        counts = {p: n for p, n in stored.groupBy(place).count().collect()}
+        after = {"version": version, "partitions": number, "n_rows": 0, "rows": dict(before["rows"]), "ids": dict(before["ids"]), "counts": dict(before.get("counts", {}))}
+        for p in replaced:
+            for what in ("rows", "ids", "counts"):
+                after[what].pop(str(p), None)
         for what, base in (("rows", folder), ("ids", index)):
-            for p in self._written(base):
-                keep = [] if p in parts else after[what].get(str(p), [])
-                after[what][str(p)] = [*keep, f"{base}/_p={p}"]
+            for p in self._written(base, place):
+                after[what][str(p)] = [*after[what].get(str(p), []), f"{base}/{place}={p}"]
+        for p, n in counts.items():
+            after["counts"][str(p)] = after["counts"].get(str(p), 0) + n
+        after["n_rows"] = sum(after["counts"].values())
         self._commit(after)
-        return removed_copies(union)
+        self._clean(before, after)
+        return after
 
-    def _written(self, folder: str) -> list[int]:
+    def _clean(self, *live: dict) -> None:
+        """Deletes folders that neither the new version nor the one before it names, so that open readers can finish."""
+        jvm, fs = self._fs()
+        used = {f for m in live for what in ("rows", "ids") for fs_ in m[what].values() for f in fs_}
+        for what in ("rows", "ids"):
+            for version in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}")):
+                base = f"{self.path}/{what}/{version.getPath().getName()}"
+                inside = [f"{base}/{s.getPath().getName()}" for s in fs.listStatus(version.getPath()) if s.isDirectory()]
+                gone = [f for f in inside if f not in used]
+                for f in [base] if len(gone) == len(inside) else gone:
+                    fs.delete(jvm.org.apache.hadoop.fs.Path(f), True)
+        for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")):
+            number = s.getPath().getName().split(".")[0]
+            if number.isdigit() and int(number) < live[-1]["version"] - 1:
+                fs.delete(s.getPath(), False)
+
+    def _written(self, folder: str, place: str) -> list[int]:
         jvm, fs = self._fs()
         names = [s.getPath().getName() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder))]
-        return [int(n[3:]) for n in names if n.startswith("_p=")]
+        return [int(n[len(place) + 1 :]) for n in names if n.startswith(f"{place}=")]
 
     def drop(self) -> None:
         delete_path(self.spark, self.path)
@@ -153,3 +230,10 @@ class DeliveryStore:
 def deduplicate(history: DataFrame, incoming: DataFrame, store: DeliveryStore) -> DataFrame:
     """Loads the history into an empty store, merges the incoming rows and returns all copies dropped on the way."""
     return store.merge(history).unionByName(store.merge(incoming))
+
+
+def kept_copies(history: DataFrame, incoming: DataFrame, store: DeliveryStore) -> DataFrame:
+    """The rows of the store after both merges."""
+    store.merge(history)
+    store.merge(incoming)
+    return store.rows(history.schema)

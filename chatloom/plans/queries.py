@@ -345,16 +345,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_whole_messages(spark: SparkSession, d: str) -> DataFrame:
     """One copy of each message with all its columns, read out of the store after both merges."""
-    m, store = table(spark, d, "messages"), delivery.DeliveryStore(spark)
-    for rows in _deliveries(m, table(spark, d, "export_batches")):
-        store.merge(rows)
-    return store.rows(m.schema)
+    return delivery.kept_copies(*_deliveries(table(spark, d, "messages"), table(spark, d, "export_batches")), delivery.DeliveryStore(spark))
 
 
 def p5_messages(spark: SparkSession, d: str) -> DataFrame:
-    """The first copy of each message, with its text and date."""
+    """The first copy of each message with its text and date, read out of the store after both merges."""
     m = table(spark, d, "messages").select("chat_id", "id", "arrival_seq", "batch_id", "date", "text", "caption")
-    return delivery.first_copies(m)
+    return delivery.kept_copies(*_deliveries(m, table(spark, d, "export_batches")), delivery.DeliveryStore(spark))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,12 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where the setting is absent (tests)."""
+    """The folder in ``spark.checkpoint.dir``. Where the setting is absent, a temporary one in local mode, as in tests;
+    on a cluster that is an error, as every executor would write to its own disk."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="chatloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -3,6 +3,8 @@
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from chatloom.operators import delivery
 from chatloom.plans.queries import queries
 from chatloom.schemas import MESSAGES
@@ -63,6 +65,37 @@ def test_hot_identifier(spark):
     assert delivery.removed_copies(frame).count() == 30_000 - frame.select("id").distinct().count()
 
 
+def test_partitions_follow_the_rows(spark, monkeypatch):
+    """A store that has outgrown its partitions is divided anew and keeps every row; old folders are deleted."""
+    monkeypatch.setattr(delivery, "PARTITION_ROWS", 10)
+    store = delivery.DeliveryStore(spark, block=4)
+    store.merge(spark.createDataFrame([(1, i, i, "a") for i in range(50)] + [(None, 1, 1, "n")], SCHEMA))
+    assert store.manifest()["partitions"] == 8
+    store.merge(spark.createDataFrame([(2, i, 1000 + i, "b") for i in range(400)] + [(1, 3, 2000, "late")], SCHEMA))
+    manifest = store.manifest()
+    assert manifest["partitions"] == 32 and manifest["n_rows"] == 451
+    stored = [tuple(r) for r in store.rows(spark.createDataFrame([], SCHEMA).schema).collect()]
+    assert len(stored) == 451 and (1, 3, 3, "a") in stored and (None, 1, 1, "n") in stored
+    incoming = spark.createDataFrame([(2, 7, 3000, "c")], SCHEMA)
+    hit = store.affected(incoming)
+    read = store._scan(manifest, "ids", incoming.select("chat_id", "id").schema, hit).inputFiles()
+    assert len(hit) == 1 and len(read) == 1
+    store.merge(incoming)
+    store.merge(incoming.withColumn("arrival_seq", F.lit(4000).cast("long")))
+    _, fs = store._fs()
+    kept = {f for what in ("rows", "ids") for m in (store.manifest(),) for fs_ in m[what].values() for f in fs_}
+    assert len(kept) <= 2 * (32 + 1) and store.rows(incoming.schema).count() == 451
+
+
+def test_merges_with_taken_names_and_empty_batches(spark):
+    frame = spark.createDataFrame([(1, 1, 2, "b", 5), (1, 1, 1, "a", 6), (2, 1, 3, "c", 7)], SCHEMA + ", _p int")
+    store = delivery.DeliveryStore(spark, partitions=3)
+    assert store.merge(frame.limit(0)).count() == 0
+    assert [tuple(r) for r in store.merge(frame).collect()] == [(1, 1, 2)]
+    assert store.merge(frame.limit(0)).count() == 0
+    assert sorted(tuple(r) for r in store.rows(frame.schema).collect()) == [(1, 1, 1, "a", 6), (2, 1, 3, "c", 7)]
+
+
 def test_whole_messages_come_out_of_the_store(spark, tmp_path):
     def message(i, seq, **more):
         return {f.name: None for f in MESSAGES.fields} | {"chat_id": 1, "id": i, "arrival_seq": seq, "batch_id": seq % 3} | more
