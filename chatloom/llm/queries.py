@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from chatloom.llm import conversations, langid, leakage, lookalikes, moderation, packing, pii
 from chatloom.sources.files import table
+from chatloom.storage import written
 
 
 def _chat_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -19,13 +20,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_conversations(spark: SparkSession, d: str) -> DataFrame:
-    rows = conversations.turns(conversations.kept_rows(*_chat_inputs(spark, d)))
-    rows = conversations.with_bodies(rows, table(spark, d, "messages"))
+    rows = conversations.rebuild(*_chat_inputs(spark, d))
     return rows.select("chat_id", "thread_id", "turn", "id", "role", "body")
 
 
 def p1_sessions(spark: SparkSession, d: str) -> DataFrame:
-    rows = conversations.rebuild(*_chat_inputs(spark, d))
+    rows = conversations.turns(written(conversations.kept_rows(*_chat_inputs(spark, d)), "kept"))
     return rows.select("chat_id", "thread_id", "turn", "id", "role", "session")
 
 
@@ -107,10 +107,10 @@ firsts as (select * from messages where chat_id is not null and id is not null q
 marks as (select id, latest_message_id as mark from chat_state qualify row_number() over (partition by id order by ord desc) = 1),
 counted as (select m.chat_id, m.id, m.reply_to_top_message_id as thread_id,
   case when m.from_user is null then 'system' when m.from_user.id in (select id from bot_accounts) then 'assistant' else 'user' end as role,
-  case when regexp_matches(coalesce(nullif(m.text, ''), m.caption), '{VISIBLE}') then coalesce(nullif(m.text, ''), m.caption) end as body
+  m.date as sent, case when regexp_matches(coalesce(nullif(m.text, ''), m.caption), '{VISIBLE}') then coalesce(nullif(m.text, ''), m.caption) end as body
   from firsts m left join marks k on k.id = m.chat_id where k.mark is null or m.id <= k.mark),
 threads as (select distinct chat_id, thread_id from counted where thread_id is not null),
-members as (select t.chat_id, t.thread_id, c.id, c.role, c.body from threads t join counted c on c.chat_id = t.chat_id and (c.thread_id = t.thread_id or c.id = t.thread_id)),
+members as (select t.chat_id, t.thread_id, c.id, c.role, c.body, c.sent from threads t join counted c on c.chat_id = t.chat_id and (c.thread_id = t.thread_id or c.id = t.thread_id)),
 judged as (select chat_id, thread_id, bool_or(id = thread_id) as opened, max(case when role = 'user' and body is not null then id end) as asked,
   max(case when role = 'assistant' and body is not null then id end) as answered from members group by 1, 2),
 lost as (select chat_id, thread_id from judged where not opened or asked is null or answered is null or answered < asked)
@@ -122,4 +122,11 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"with {COUNTED} select * from lost",
         "p1_conversations": f"""with {COUNTED} select chat_id, thread_id, row_number() over (partition by chat_id, thread_id order by id) - 1 as turn, id, role, body
             from members m where not exists (select 1 from lost l where l.chat_id = m.chat_id and l.thread_id = m.thread_id)""",
+        "p1_sessions": f"""with {COUNTED}, paused as (select *, (epoch_us(sent) - lag(epoch_us(sent)) over (partition by chat_id, thread_id order by sent, id)) as pause from members where sent is not null),
+            ranked as (select pause // 60000000 as minute, row_number() over (order by pause) as place, count(*) over () as n from paused where pause is not null),
+            gap as (select greatest(1800, coalesce(max(minute * 60), 0)) as s from ranked where place = (95 * n + 99) // 100),
+            numbered as (select chat_id, thread_id, id, cast(sum(case when pause > (select s from gap) * 1000000 then 1 else 0 end) over (partition by chat_id, thread_id order by sent, id rows unbounded preceding) as bigint) as session from paused)
+            select m.chat_id, m.thread_id, row_number() over (partition by m.chat_id, m.thread_id order by m.id) - 1 as turn, m.id, m.role, n.session
+            from members m left join numbered n on n.chat_id = m.chat_id and n.thread_id = m.thread_id and n.id = m.id
+            where not exists (select 1 from lost l where l.chat_id = m.chat_id and l.thread_id = m.thread_id)""",
     }

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from oracle import connect, differences
@@ -63,12 +64,44 @@ def test_conversations_are_dropped_for_each_reason(spark):
     assert conversations.rebuild(*(x.limit(0) for x in inputs)).count() == 0
 
 
+def dated(spark, rows):
+    """Rows (chat, thread, id, hours or None) as rows of conversations with slots."""
+    frame = spark.createDataFrame([(c, t, i, None if h is None else float(h)) for c, t, i, h in rows], "chat_id long, thread_id long, id long, h double")
+    at = "cast(case when h is not null then timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, h * 3600) end as timestamp_ntz) as at"
+    return conversations.conversation_rows(frame.selectExpr("chat_id", "thread_id", "id", at, "true as has_body", "'user' as role"))
+
+
 def test_sessions_split_at_long_pauses(spark):
     hours = [0.0, 0.1, 0.2, 30.0, 30.1, None]
-    rows = spark.createDataFrame([(1, 1, i, None if h is None else "2024-01-01 00:00:00", h) for i, h in enumerate(hours)], "chat_id long, thread_id long, id long, t string, h double")
-    rows = rows.selectExpr("chat_id", "thread_id", "id", "cast(cast(t as timestamp) + make_dt_interval(0, 0, cast(h * 60 as int)) as timestamp_ntz) as at")
-    got = conversations.turns(conversations.sessions(rows, 3600.0)).orderBy("id").collect()
-    assert [r.session for r in got] == [0, 0, 0, 1, 1, None] and [r.turn for r in got] == list(range(6))
+    paused = conversations.with_pauses(conversations.slots(dated(spark, [(1, 0, i, h) for i, h in enumerate(hours)])))
+    got = conversations.sessions(paused, 3600).orderBy(F.col("slot").asc_nulls_last()).collect()
+    assert [(r.session, r.n_rows) for r in got] == [(0, 3), (1, 2), (None, 1)]
+
+
+def test_calibrated_gap_is_an_exact_quantile(spark):
+    rng = random.Random(4)
+    rows, pauses = [], []
+    for thread in range(40):
+        at, last = 0.0, None
+        for i in range(rng.randint(1, 30)):
+            at += rng.choice([0, 0.01, 0.2, 0.4, 0.6, 3, 40]) * rng.random()
+            rows.append((1, 1000 + thread, 100_000 * thread + i, at))
+            seconds = int(round(at * 3600e6))
+            pauses += [] if last is None else [seconds - last]
+            last = seconds
+    paused = conversations.with_pauses(conversations.slots(dated(spark, rows)))
+    want = sorted(pauses)[-(-95 * len(pauses) // 100) - 1] // 60_000_000 * 60
+    assert conversations.calibrated_gap(paused) == max(want, 1800) > 1800
+    assert conversations.calibrated_gap(paused.limit(0)) == 1800
+
+
+def test_rows_of_one_date_make_one_slot(spark):
+    rows = spark.range(100_000).selectExpr("1L as chat_id", "id as id", "0L as thread_id", "timestamp_ntz'2000-01-01 00:00:00' as at", "true as has_body", "if(id % 2 = 0, 'user', 'assistant') as role")
+    slotted = conversations.slots(conversations.conversation_rows(rows))
+    assert [(r.n_rows, r.asked, r.answered, r.opened) for r in slotted.collect()] == [(100_000, 99_998, 99_999, 1)]
+    # The sum per slot is taken before rows are exchanged, and by hash.
+    plan = slotted._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("HashAggregate") >= 2
 
 
 # -- look-alikes --------------------------------------------------------------------------------------------------------
