@@ -40,22 +40,24 @@ def _partition(partitions: int, block: int) -> Column:
     return F.pmod(F.xxhash64("chat_id", F.floor(F.col("id") / block)), F.lit(partitions)).cast("int")
 
 
-def copies(rows: DataFrame) -> DataFrame:
-    """Distinct (chat_id, id, arrival_seq) with the number of rows; combined before the shuffle, so a hot id is small."""
-    return rows.groupBy(*KEY, ORDER).agg(F.count(F.lit(1)).alias("n"))
+def repeated(rows: DataFrame) -> DataFrame:
+    """Messages that came more than once, with the lowest ``arrival_seq`` and the number of copies.
+
+    Counted on keys alone in a hash aggregate that combines before the shuffle, so a hot id costs one row per task.
+    """
+    counted = rows.where(KNOWN).select(*KEY, ORDER).groupBy(*KEY).agg(F.min(ORDER).alias("lowest"), F.count(F.lit(1)).alias("copies"))
+    return counted.where("copies > 1")
 
 
-def removed_copies(rows: DataFrame) -> DataFrame:
-    """Each copy that is not the first delivery of its message, one row per copy."""
-    counted = copies(rows.where(KNOWN).select(*KEY, ORDER))
-    first = counted.groupBy(*KEY).agg(
-        F.min(ORDER).alias("_first"), F.sum("n").alias("_all"), F.count(F.lit(1)).alias("_distinct")
-    ).where("_all > 1")
-    # A single distinct arrival_seq needs no look at the copies; the others are joined back, which AQE splits if skewed.
-    several = counted.join(first, [*KEY])
-    extra = F.when(F.col(ORDER).eqNullSafe(F.col("_first")), F.col("n") - 1).otherwise(F.col("n"))
-    spread = several.withColumn("_extra", extra).where("_extra > 0")
-    return spread.select(*KEY, ORDER, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_extra"))).alias("_i")).drop("_i")
+def removed_copies(rows: DataFrame, several: DataFrame | None = None) -> DataFrame:
+    """Each copy that is not the first delivery of its message, one row per copy; ``several`` is :func:`repeated`."""
+    several = repeated(rows) if several is None else several
+    # Only messages with several copies are looked at; AQE splits the join where one has very many.
+    found = rows.where(KNOWN).select(*KEY, ORDER).join(several, [*KEY])
+    counted = found.groupBy(*KEY, ORDER, "lowest").agg(F.count(F.lit(1)).alias("n"))
+    extra = F.when(F.col(ORDER).eqNullSafe(F.col("lowest")), F.col("n") - 1).otherwise(F.col("n"))
+    spread = counted.withColumn("extra", extra).where("extra > 0")
+    return spread.select(*KEY, ORDER, F.explode(F.sequence(F.lit(1).cast("long"), F.col("extra"))).alias("i")).drop("i")
 
 
 def _unused(rows: DataFrame, name: str) -> str:
@@ -72,17 +74,15 @@ def _content(rows: DataFrame) -> Column:
     return F.xxhash64(*(F.to_json(F.col(f.name)) if "map<" in f.dataType.simpleString() else F.col(f.name) for f in rest), F.lit(0))
 
 
-def first_copies(rows: DataFrame) -> DataFrame:
+def first_copies(rows: DataFrame, several: DataFrame | None = None) -> DataFrame:
     """One whole row per message, rows without identity untouched.
 
-    Which messages came more than once is counted on keys alone, in a hash aggregate that combines before the shuffle.
-    Only their rows are compared, and of those only the ones with the lowest ``arrival_seq``; all other rows pass by.
+    Messages that came once pass by. Of the others only the rows with the lowest ``arrival_seq`` are compared.
     """
-    known, lowest, row = rows.where(KNOWN), _unused(rows, "first"), _unused(rows, "row")
-    counted = known.select(*KEY, ORDER).groupBy(*KEY).agg(F.min(ORDER).alias(lowest), F.count(F.lit(1)).alias("n"))
-    several = counted.where("n > 1").drop("n")
-    single = known.join(several, [*KEY], "left_anti")
-    first = known.join(several, [*KEY]).where(F.col(ORDER).eqNullSafe(F.col(lowest))).drop(lowest)
+    several = repeated(rows) if several is None else several
+    known, lowest, row = rows.where(KNOWN), _unused(rows, "lowest"), _unused(rows, "row")
+    single = known.join(several.select(*KEY), [*KEY], "left_anti")
+    first = known.join(several.select(*KEY, F.col("lowest").alias(lowest)), [*KEY]).where(F.col(ORDER).eqNullSafe(F.col(lowest)))
     rest = [c for c in rows.columns if c not in KEY]
     best = first.groupBy(*KEY).agg(F.min_by(F.struct(*rest), _content(rows)).alias(row))
     whole = best.select(*KEY, *(F.col(row).getField(c).alias(c) for c in rest)).select(*rows.columns)
@@ -162,42 +162,33 @@ class DeliveryStore:
         before = self.manifest()
         parts = self.affected(incoming)
         union = self._scan(before, "rows", incoming.schema, parts).unionByName(incoming)
-        removed = written(removed_copies(union), "removed-copies")
+        several = written(repeated(union), "repeated")
+        removed = written(removed_copies(union, several), "removed-copies")
+        n_rows = before["n_rows"] + incoming.count() - removed.count()
         if not before["partitions"]:
-            before["partitions"] = self._partitions_for(incoming)
-        after = self._write(before, parts, first_copies(union))
-        if after["n_rows"] > OUTGROWN * PARTITION_ROWS * after["partitions"]:
-            self._write(after, [int(p) for p in after["rows"]], self._scan(after, "rows", incoming.schema), OUTGROWN * after["partitions"])
+            before["partitions"] = self.wanted or 1 << (max(LEAST_PARTITIONS, n_rows // PARTITION_ROWS + 1) - 1).bit_length()
+        after = self._write(before, before["partitions"], parts, first_copies(union, several), n_rows)
+        if n_rows > OUTGROWN * PARTITION_ROWS * after["partitions"]:
+            self._write(after, OUTGROWN * after["partitions"], [int(p) for p in after["rows"]], self._scan(after, "rows", incoming.schema), n_rows)
         return removed
 
-    def _partitions_for(self, incoming: DataFrame) -> int:
-        if self.wanted:
-            return self.wanted
-        return 1 << (max(LEAST_PARTITIONS, incoming.count() // PARTITION_ROWS + 1) - 1).bit_length()
-
-    def _write(self, before: dict, replaced: list[int], kept: DataFrame, partitions: int | None = None) -> dict:
+    def _write(self, before: dict, partitions: int, replaced: list[int], kept: DataFrame, n_rows: int) -> dict:
         """Writes rows as the next version, in place of the replaced partitions and beside all others."""
-        version, number = before["version"] + 1, partitions or before["partitions"]
-        # Rows without identity lie beside the partitions, spread by delivery.
-        place = _unused(kept, "_p")
-        placed = kept.withColumn(place, F.coalesce(_partition(number, self.block), F.lit(-1)))
+        version, place = before["version"] + 1, _unused(kept, "_p")
+        # Rows without identity lie beside the partitions.
+        placed = kept.withColumn(place, F.coalesce(_partition(partitions, self.block), F.lit(-1)))
         attempt = f"v{version}-{uuid.uuid4().hex[:8]}"
         folder, index = f"{self.path}/rows/{attempt}", f"{self.path}/ids/{attempt}"
         # One exchange brings a partition together; large ones are divided by size while it is read, small ones joined.
         placed.hint("rebalance", place).write.partitionBy(place).parquet(folder)
         stored = self.spark.read.option("basePath", folder).schema(placed.schema).parquet(folder)
         stored.where(KNOWN).select(*KEY, place).write.partitionBy(place).parquet(index)
-        counts = {p: n for p, n in stored.groupBy(place).count().collect()}
-        after = {"version": version, "partitions": number, "n_rows": 0, "rows": dict(before["rows"]), "ids": dict(before["ids"]), "counts": dict(before.get("counts", {}))}
-        for p in replaced:
-            for what in ("rows", "ids", "counts"):
-                after[what].pop(str(p), None)
+        after = {"version": version, "partitions": partitions, "n_rows": n_rows, "rows": dict(before["rows"]), "ids": dict(before["ids"])}
         for what, base in (("rows", folder), ("ids", index)):
+            for p in replaced:
+                after[what].pop(str(p), None)
             for p in self._written(base, place):
                 after[what][str(p)] = [*after[what].get(str(p), []), f"{base}/{place}={p}"]
-        for p, n in counts.items():
-            after["counts"][str(p)] = after["counts"].get(str(p), 0) + n
-        after["n_rows"] = sum(after["counts"].values())
         self._commit(after)
         self._clean(before, after)
         return after
