@@ -15,13 +15,12 @@ order of a hash of their other columns. Copies equal in every column are interch
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chatloom.storage import delete_path, new_path, written
+from chatloom.storage import commit_version, delete_path, new_path, newest_version, written
 
 KEY = ("chat_id", "id")
 ORDER = "arrival_seq"
@@ -110,25 +109,8 @@ class DeliveryStore:
 
     def manifest(self) -> dict:
         """The newest committed version: partition to folders of rows and of ids."""
-        jvm, fs = self._fs()
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
-        if not fs.exists(folder):
-            return {"version": 0, "partitions": 0, "n_rows": 0, "rows": {}, "ids": {}}
-        newest = max(int(s.getPath().getName().split(".")[0]) for s in fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
-        stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest/{newest}.json"))
-        try:
-            return json.loads(str(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-        finally:
-            stream.close()
-
-    def _commit(self, manifest: dict) -> None:
-        jvm, fs = self._fs()
-        name = f"{self.path}/manifest/{manifest['version']}"
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(name + ".new"), True)
-        out.write(bytearray(json.dumps(manifest).encode()))
-        out.close()
-        if not fs.rename(jvm.org.apache.hadoop.fs.Path(name + ".new"), jvm.org.apache.hadoop.fs.Path(name + ".json")):
-            raise RuntimeError(f"version {manifest['version']} was committed by another writer")
+        found = newest_version(self.spark, f"{self.path}/manifest")
+        return found or {"version": 0, "partitions": 0, "n_rows": 0, "rows": {}, "ids": {}}
 
     # -- reading --------------------------------------------------------------------------------------------------
 
@@ -189,7 +171,7 @@ class DeliveryStore:
                 after[what].pop(str(p), None)
             for p in self._written(base, place):
                 after[what][str(p)] = [*after[what].get(str(p), []), f"{base}/{place}={p}"]
-        self._commit(after)
+        commit_version(self.spark, f"{self.path}/manifest", after)
         self._clean(before, after)
         return after
 
@@ -204,10 +186,6 @@ class DeliveryStore:
                 gone = [f for f in inside if f not in used]
                 for f in [base] if len(gone) == len(inside) else gone:
                     fs.delete(jvm.org.apache.hadoop.fs.Path(f), True)
-        for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")):
-            number = s.getPath().getName().split(".")[0]
-            if number.isdigit() and int(number) < live[-1]["version"] - 1:
-                fs.delete(s.getPath(), False)
 
     def _written(self, folder: str, place: str) -> list[int]:
         jvm, fs = self._fs()

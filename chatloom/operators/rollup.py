@@ -20,11 +20,11 @@ def bucket_rollup(messages: DataFrame) -> DataFrame:
     )
 
 
-def text_records(messages: DataFrame) -> DataFrame:
-    """Path and text of each message with a body."""
+def text_records(messages: DataFrame, *more: str) -> DataFrame:
+    """Path and text of each message with a body. ``more`` columns of the messages are kept."""
     m = messages
     path = F.concat_ws("/", F.col("chat_id").cast("string"), ft.export_path(F.col("reply_to_top_message_id"), F.col("date"), ".txt"))
-    return m.select("chat_id", "id", "arrival_seq", path.alias("path"), ft.text_record(m).alias("text")).where("text is not null")
+    return m.select("chat_id", "id", "arrival_seq", *more, path.alias("path"), ft.text_record(m).alias("text")).where("text is not null")
 
 
 def joined_records(messages: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chatloom.functions.text import filled
 from chatloom.operators.blocks import running
-from chatloom.schemas import CHAT_TYPES
+from chatloom.schemas import CHAT_TYPES, CHATS
 
 #: Arrivals in one block of a running mark.
 ARRIVALS = 1 << 16
@@ -73,7 +73,7 @@ def chat_brief(chats: DataFrame) -> DataFrame:
 
 
 def current_state(state: DataFrame, ord_col: str = "ord") -> DataFrame:
-    """The row with the highest ``ord`` of each chat; a hash aggregate, so no chat's rows meet in one sort."""
+    """The row with the highest ``ord`` of each chat; rows of a chat are combined before the shuffle."""
     rest = [c for c in state.columns if c != "id"]
     best = F.max_by(F.struct(*rest), F.struct(F.col(ord_col).isNotNull(), F.col(ord_col), F.to_json(F.struct(*rest))))
     return state.groupBy("id").agg(best.alias("_s")).select("id", *(F.col(f"_s.{c}").alias(c) for c in rest))
@@ -94,9 +94,20 @@ def merge_state(chats: DataFrame, saved: DataFrame, keep_vanished: bool = False)
     return merged
 
 
+def one_row_each(chats: DataFrame) -> DataFrame:
+    """One row per dialog; of several rows of an id the least counts."""
+    rest = [c for c in chats.columns if c != "id"]
+    return chats.groupBy("id").agg(F.min(F.struct(*rest)).alias("_c")).select("id", *(F.col("_c").getField(c).alias(c) for c in rest))
+
+
+def unnamed(ids: DataFrame) -> DataFrame:
+    """Dialog rows of chats of which nothing but the id is known."""
+    return ids.select("id", *(F.lit(None).cast("string").alias(c) for c in CHATS.names if c != "id"))
+
+
 def ensure_chats(state: DataFrame, seen: DataFrame) -> DataFrame:
-    """State plus a fresh row for each seen chat that it lacks."""
-    fresh = chat_brief(seen.dropDuplicates(["id"])).join(state.select("id"), "id", "left_anti")
+    """State plus a fresh row for each seen chat that it lacks; of several rows of a chat the least counts."""
+    fresh = chat_brief(one_row_each(seen)).join(state.select("id"), "id", "left_anti")
     extra = [F.lit(False).alias("history_complete")] + [
         F.lit(None).cast("long").alias(x) for x in ("oldest_message_id", "latest_message_id")
     ]

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from chatloom.operators.blocks import running
 
-#: Arrivals in one block of a running mark.
+#: Arrivals in one block of a running mark, and ids in one block of a numbering.
 ARRIVALS = 1 << 16
+ID_BLOCK = 1 << 14
 
 
 def tail(messages: DataFrame, state: DataFrame) -> DataFrame:
@@ -27,8 +28,10 @@ def backfill(messages: DataFrame, state: DataFrame) -> DataFrame:
 
 def numbered_batches(messages: DataFrame, batch_size: int) -> DataFrame:
     """Adds ``batch_no`` (from 0): chunks of ``batch_size`` rows of a chat from the highest id down."""
-    w = Window.partitionBy("chat_id").orderBy(F.desc("id"), F.asc("arrival_seq"))
-    return messages.withColumn("batch_no", F.floor((F.row_number().over(w) - 1) / batch_size).cast("long"))
+    # Blocks of neighbouring ids, the highest first and rows without an id last; a block is at most a task's.
+    block = F.coalesce(F.floor(-F.col("id") / ID_BLOCK), F.lit((1 << 62)))
+    placed = running(messages.withColumn("_block", block), ("chat_id",), "_block", (F.desc("id"), F.asc("arrival_seq")), "sum", F.lit(1), "_place")
+    return placed.withColumn("batch_no", F.floor((F.col("_place") - 1) / batch_size).cast("long")).drop("_block", "_place")
 
 
 def batch_summary(messages: DataFrame, batch_size: int) -> DataFrame:
@@ -40,19 +43,34 @@ def batch_summary(messages: DataFrame, batch_size: int) -> DataFrame:
     return per.withColumn("counter", F.sum("n_rows").over(w))
 
 
-def live_accepted(messages: DataFrame) -> DataFrame:
-    """Rows whose id is above every id of the chat that arrived before; others are late or repeated."""
+def pending(messages: DataFrame, state: DataFrame) -> DataFrame:
+    """The tail in ascending order of ids, chat by chat; rows of one id in order of arrival."""
+    return tail(messages, state).orderBy("chat_id", "id", "arrival_seq")
+
+
+def live_accepted(messages: DataFrame, marks: DataFrame | None = None) -> DataFrame:
+    """Rows whose id is above every id of the chat that arrived before; others are late or repeated.
+
+    ``marks`` (chat_id, mark) holds the highest id of each chat before these rows.
+    """
+    if marks is not None:
+        known = messages.join(marks.select("chat_id", F.col("mark").alias("_mark")), "chat_id", "left")
+        messages = known.where(F.col("_mark").isNull() | (F.col("id") > F.col("_mark"))).select(*messages.columns)
     blocked = messages.withColumn("_block", F.floor(F.col("arrival_seq") / ARRIVALS))
     seen = running(blocked, ("chat_id",), "_block", ("arrival_seq",), "max", F.col("id"), "_seen", current=False)
     return seen.where(F.col("_seen").isNull() | (F.col("id") > F.col("_seen"))).drop("_seen", "_block")
 
 
-def synchronise(messages: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+def synchronise(messages: DataFrame, state: DataFrame, revive_empty: bool = False) -> tuple[DataFrame, DataFrame]:
     """One pass over all chats: (rows to export with their ``branch``, the state after it).
 
     Complete chats give their tail, others their backfill. Afterwards every chat of the second kind is complete; its
-    lowest mark is the lowest id read, its highest mark is set only where it was null. A chat found empty stays null.
+    lowest mark is the lowest id read, its highest mark is set only where it was null. A chat found empty stays null and
+    is not read again, unless ``revive_empty``.
     """
+    if revive_empty:
+        empty = F.col("latest_message_id").isNull() & F.col("oldest_message_id").isNull()
+        state = state.withColumn("history_complete", F.col("history_complete") & ~empty)
     done = F.coalesce("history_complete", F.lit(False))
     rows = tail(messages, state.where(done)).withColumn("branch", F.lit("tail")).unionByName(
         backfill(messages, state).withColumn("branch", F.lit("backfill"))

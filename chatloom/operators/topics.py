@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,9 +23,7 @@ def parse_topic_json(files: DataFrame, content: str = "content") -> DataFrame:
     """Entries of JSON objects of strings, with whole numbers as keys; other values and keys are skipped."""
     rest = [c for c in files.columns if c != content]
     variant = files.select(*rest, F.parse_json(F.col(content)).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT"))
-    variant.createOrReplaceTempView("_chatloom_topic_json")
-    columns = "".join(f"t.{c}, " for c in rest)
-    entries = files.sparkSession.sql(f"SELECT {columns} e.key, e.value FROM _chatloom_topic_json t, LATERAL variant_explode(t.v) e")
+    entries = variant.lateralJoin(files.sparkSession.tvf.variant_explode(F.col("v").outer()))
     return (
         entries.where(F.schema_of_variant("value") == "STRING")
         .select(*rest, F.expr("try_cast(key as bigint)").alias("topic_id"), F.expr("variant_get(value, '$', 'string')").alias("title"))
@@ -63,6 +61,22 @@ def keyset_page(rows: DataFrame, order: list[str], after: tuple | None = None, s
     return rows.orderBy(*(F.desc(c) for c in order)).limit(size)
 
 
+def reached_by_paging(rows: DataFrame, group: str, order: list[str], valid: Column, size: int = 100) -> DataFrame:
+    """The valid rows that paging through each group brings out, in descending order of the key columns.
+
+    A page holds ``size`` rows below the cursor, the cursor is the last valid row of the page before, and paging ends
+    at an empty page, a page without a valid row, or a short page. So a valid row is reached if no two valid rows before
+    it, nor the start and the first one, lie more than ``size`` places apart; that is taken in one pass over all groups
+    instead of page by page. A group is the topics of one chat.
+    """
+    listed = Window.partitionBy(group).orderBy(*(F.desc(c) for c in order))
+    upto = listed.rowsBetween(Window.unboundedPreceding, 0)
+    placed = rows.withColumns({"_place": F.row_number().over(listed), "_valid": F.coalesce(valid, F.lit(False))})
+    gap = F.col("_place") - F.coalesce(F.lag("_place").over(listed), F.lit(0))
+    linked = placed.where("_valid").withColumn("_broken", (gap > size).cast("int"))
+    return linked.withColumn("_broken", F.max("_broken").over(upto)).where("_broken = 0").drop("_place", "_valid", "_broken")
+
+
 def clean_title(title: Column) -> Column:
     """White space of any kind as single blanks, none at the ends."""
     return F.trim(F.regexp_replace(title, r"[\s\p{Z}]+", " "))

@@ -32,6 +32,8 @@ EVENT = (
     "when group_chat_created or supergroup_chat_created or channel_chat_created then 'created chat' "
     "when pinned_message is not null then 'pinned a message' end"
 )
+BODY = f"coalesce(nullif(text, ''), nullif(caption, ''), {EVENT})"
+FILE_ID = f"coalesce({MEDIA}.big_file_id, {MEDIA}.file_id)"
 RECORDS = (
     f"(select chat_id, id, arrival_seq, cast(chat_id as varchar) || '/' || case when reply_to_top_message_id is null then '' "
     f"else cast(reply_to_top_message_id as varchar) || '/' end || {BUCKET} || '.txt' as path, "
@@ -95,7 +97,7 @@ def oracle_sql() -> dict[str, str]:
         "chat_brief": f"{BRIEF} from chats",
         "chat_mapping_dedup": f"select id, qualname from {CURRENT}",
         "chat_mapping_lines": "select ord, cast(id as varchar) || chr(9) || coalesce(qualname, 'None') as line from chat_state",
-        "dense_chat_type_counts": f"select t.chat_type, count(c.id) as n_chats from (select unnest({list(CHAT_TYPES)}) as chat_type) t left join chats c on split_part(c.type, '.', -1) = t.chat_type and c.title is not null group by 1",
+        "dense_chat_type_counts": f"select t.chat_type, count(c.id) as n_chats from (select unnest({list(CHAT_TYPES)}) as chat_type) t left join chats c on split_part(c.type, '.', -1) = t.chat_type group by 1",
         "chat_progress": "select chat_id, min(id) as oldest_message_id, max(id) as latest_message_id, count(*) as n_messages from messages group by 1",
         "running_state": "select chat_id, id, arrival_seq, min(id) over w as oldest_message_id, max(id) over w as latest_message_id from messages window w as (partition by chat_id order by arrival_seq rows unbounded preceding)",
         "state_validation": "select id, chat_type, cast(null as varchar) as username, coalesce(qualname, '') as qualname, case when ord % 8 = 4 then false else history_complete end as history_complete, oldest_message_id, latest_message_id from chat_state where ord % 8 in (0, 4) and history_complete is not null and chat_type is not null",
@@ -109,6 +111,20 @@ def oracle_sql() -> dict[str, str]:
             case when s.history_complete then greatest(s.latest_message_id, r.high) else coalesce(s.latest_message_id, r.high) end as latest_message_id from s left join r using (id)""",
         "live_high_water": "select chat_id, id, arrival_seq from (select *, max(id) over (partition by chat_id order by arrival_seq rows between unbounded preceding and 1 preceding) as seen from messages) where seen is null or id > seen",
         "live_stream": "select chat_id, id, arrival_seq from (select *, max(id) over (partition by chat_id order by arrival_seq rows between unbounded preceding and 1 preceding) as seen from messages where chat_id is not null and id is not null) where seen is null or id > seen",
+        "sync_job": f"""with c as (select distinct id from chats), h as (select * from messages where batch_id in (select batch_id from export_batches where phase = 'backfill' and committed)),
+            one as (select c.id, min(h.id) as low, max(h.id) as high from c left join h on h.chat_id = c.id group by 1),
+            rows_ as (select h.*, 1 as run from h union all by name select m.*, 2 as run from messages m join one on one.id = m.chat_id and m.id > one.high),
+            n as (select chat_id, max(id) filter (run = 2) as top, count(*) as n_messages, count({FILE_ID}) as n_medias, count({BODY}) as n_texts from rows_ group by 1)
+            select one.id, true as history_complete, one.low as oldest_message_id, greatest(one.high, n.top) as latest_message_id, coalesce(n_messages, 0) as n_messages, coalesce(n_medias, 0) as n_medias, coalesce(n_texts, 0) as n_texts
+            from one left join n on n.chat_id = one.id""",
+        "live_append": f"""with a as (select * from (select *, max(id) over (partition by chat_id order by arrival_seq rows between unbounded preceding and 1 preceding) as seen from messages where chat_id is not null and id is not null) where seen is null or id > seen),
+            t as (select chat_id, count(*) as n from (select distinct chat_id, topic_id from topics) p where exists (select 1 from a where a.chat_id = p.chat_id and a.reply_to_top_message_id = p.topic_id) group by 1)
+            select a.chat_id as id, false as history_complete, min(id) as oldest_message_id, max(id) as latest_message_id, count(*) as n_messages, count({FILE_ID}) as n_medias, count({BODY}) as n_texts, coalesce(any_value(t.n), 0) as n_topics
+            from a left join t on t.chat_id = a.chat_id group by 1""",
+        "manifest_scan": "select raw_file_id, file_name, file_size, file_type from media_manifest where raw_file_id is not null",
+        "topic_paging": """with p as (select chat_id, topic_id, max(title) as title from topics group by 1, 2), q as (select *, row_number() over (partition by chat_id order by topic_id desc) as place from p),
+            v as (select *, place - coalesce(lag(place) over (partition by chat_id order by place), 0) as gap from q where regexp_matches(title, '[^\s\p{Z}]'))
+            select chat_id, topic_id, title from v where not exists (select 1 from v w where w.chat_id = v.chat_id and w.place <= v.place and w.gap > 2)""",
         "topic_titles": "select chat_id, topic_id, trim(regexp_replace(title, '[\\s\\p{Z}]+', ' ', 'g')) as title from topics",
         "topic_upsert": f"select * from {TOPIC_NEW} union all select o.* from {TOPIC_OLD} o where not exists (select 1 from {TOPIC_NEW} n where n.chat_id = o.chat_id and n.topic_id = o.topic_id)",
         "topic_replace": f"select * from {TOPIC_NEW} union all select o.* from {TOPIC_OLD} o where o.chat_id not in (select chat_id from {TOPIC_NEW})",
@@ -131,7 +147,7 @@ def oracle_sql() -> dict[str, str]:
         "media_coalesce": f"select arrival_seq, m.kind as kind, m.file_unique_id as file_unique_id from (select arrival_seq, {MEDIA} as m from messages) where m is not null",
         "media_filename": f"select *, {DIRECTORY} as directory, replace(file_name, ':', '-') as disk_name from {FILES}",
         "media_directories": f"select {DIRECTORY} as directory, count(*) as n_files, cast(sum(file_size) as bigint) as total_bytes from media_manifest group by 1",
-        "skip_existing": f"""with f as (select chat_id, message_id, {DIRECTORY} as directory, replace(file_name, ':', '-') as disk_name from media_manifest where raw_file_id is not null and message_id is not null)
+        "skip_existing": f"""with f as (select chat_id, message_id, {DIRECTORY} as directory, replace(file_name, ':', '-') as disk_name from media_manifest where raw_file_id is not null)
             select chat_id, min(message_id) as message_id, directory, disk_name from f where not exists (select 1 from f e where e.message_id % 4 = 0 and e.chat_id = f.chat_id and e.directory = f.directory and e.disk_name = f.disk_name) group by chat_id, directory, disk_name""",
         "human_readable_size": f"select distinct file_size, {human_size()} as shown from media_manifest",
         "json_props": "select event_type, cast(props ->> '$.k' as int) as k, count(*) as n from events group by 1, 2",

@@ -6,19 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from chatloom.functions import media as fm
 from chatloom.functions import sizes as fs
 from chatloom.functions import text as ft
 from chatloom.operators import delivery, media, nested, rollup, state, sync, topics
-from chatloom.schemas import MEDIA_SLOTS
-from chatloom.sources.files import load_tagged, table
+from chatloom.operators.archive import KINDS, Archive
+from chatloom.schemas import MEDIA_SLOTS, MESSAGES
+from chatloom.sinks.render import write_manifests
+from chatloom.sources.files import load_tagged, read_manifests, table
 from chatloom.sources.paged import HistorySource
+from chatloom.storage import new_path
 from chatloom.streaming.live import run_live
 
 BATCH = 1000
 SMALL_BATCH = 10
 PAGE = 100
+SMALL_PAGE = 2
 
 
 def _now():
@@ -65,7 +70,7 @@ def chat_mapping_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dense_chat_type_counts(spark: SparkSession, d: str) -> DataFrame:
-    return state.dense_type_counts(table(spark, d, "chats").where("title is not null"))
+    return state.dense_type_counts(table(spark, d, "chats"))
 
 
 def chat_progress(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +131,46 @@ def live_high_water(spark: SparkSession, d: str) -> DataFrame:
 
 
 def live_stream(spark: SparkSession, d: str) -> DataFrame:
-    return run_live(spark, f"{d}/messages.parquet*")  # as a glob it may be a file or a folder
+    keys = StructType([MESSAGES[c] for c in ("chat_id", "id", "arrival_seq")])
+    archive = run_live(spark, f"{d}/messages.parquet*", kinds=(), schema=keys)  # as a glob it may be a file or a folder
+    return archive.rows("messages").select(*keys.names)
+
+
+def _state_and_counts(archive: Archive) -> DataFrame:
+    """State rows with the number of rows the archive holds of each chat."""
+    per = lambda kind: archive.rows(kind).groupBy(F.col("chat_id").alias("id")).agg(F.count(F.lit(1)).alias(f"n_{kind}"))
+    marks = archive.state().select("id", "history_complete", "oldest_message_id", "latest_message_id")
+    counted = marks.join(per("messages"), "id", "left").join(per("medias"), "id", "left").join(per("texts"), "id", "left")
+    return counted.fillna(0, [f"n_{kind}" for kind in KINDS])
+
+
+def sync_job(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs over all chats into an archive: first what committed backfill batches hold, then everything."""
+    archive, chats, m = Archive(spark), table(spark, d, "chats"), table(spark, d, "messages")
+    for rows in (_deliveries(m, table(spark, d, "export_batches"))[0], m):
+        archive.synchronise(chats, rows)
+    return _state_and_counts(archive)
+
+
+def live_append(spark: SparkSession, d: str) -> DataFrame:
+    """All messages streamed into an archive: state, rows, and the topics discovered on the way, of each chat."""
+    archive = run_live(spark, f"{d}/messages.parquet*", chats=table(spark, d, "chats"), listed=table(spark, d, "topics"))
+    found = archive.topics().groupBy(F.col("chat_id").alias("id")).agg(F.count(F.lit(1)).alias("n_topics"))
+    return _state_and_counts(archive).join(found, "id", "left").fillna(0, ["n_topics"])
+
+
+def manifest_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest entries of all chats, written as files and read back."""
+    folder = new_path(spark, "manifests")
+    write_manifests(table(spark, d, "media_manifest"), folder.removeprefix("file:"))
+    return read_manifests(spark, folder).select("raw_file_id", "file_name", "file_size", "file_type")
+
+
+def topic_paging(spark: SparkSession, d: str) -> DataFrame:
+    """Topics reached by paging through each chat; titles of white space alone stand for entries that are no topics."""
+    t = table(spark, d, "topics").groupBy("chat_id", "topic_id").agg(F.max("title").alias("title"))
+    reached = topics.reached_by_paging(t, "chat_id", ["topic_id"], topics.clean_title(F.col("title")) != "", SMALL_PAGE)
+    return reached.select("chat_id", "topic_id", "title")
 
 
 def topic_titles(spark: SparkSession, d: str) -> DataFrame:
@@ -265,7 +309,7 @@ def media_directories(spark: SparkSession, d: str) -> DataFrame:
 
 
 def skip_existing(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "media_manifest").where("raw_file_id is not null and message_id is not null")
+    files = table(spark, d, "media_manifest").where("raw_file_id is not null")
     there = media.targets(files.where("message_id % 4 = 0")).select("chat_id", "directory", "disk_name").distinct()
     return media.missing_files(files, there).select("chat_id", "message_id", "directory", "disk_name")
 
@@ -286,7 +330,6 @@ def tagged_load(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _history(spark: SparkSession, d: str) -> DataFrame:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(HistorySource)
     return spark.read.format("chat_history").option("path", f"{d}/messages.parquet").load()
 
@@ -358,7 +401,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         bucket_rollup, week_bucket_counts, state_merge, current_state, ensure_chat_state, chat_brief,
         chat_mapping_dedup, chat_mapping_lines, dense_chat_type_counts, chat_progress, running_state, state_validation,
-        tail_incremental, backfill_resume, backfill_batches, batch_counter, sync_state, live_high_water, live_stream,
+        tail_incremental, backfill_resume, backfill_batches, batch_counter, sync_state, live_high_water, live_stream, sync_job, live_append,
+        manifest_scan, topic_paging,
         topic_titles, topic_upsert, topic_replace, topic_upsert_whole, topic_replace_whole, topic_exists, topic_unknown, keyset_page, topic_lines,
         forum_chats, topic_lookup, chat_avatars, media_queue, message_media_split,
         topics_fallback, event_text_case, author_label, text_render, text_concat, media_coalesce, media_filename,

@@ -14,17 +14,26 @@ def with_partition_columns(messages: DataFrame) -> DataFrame:
     return messages.withColumns({"thread_id": F.col("reply_to_top_message_id"), "bucket": ft.week_bucket(F.col("date"))})
 
 
+LAYOUT = ("chat_id", "thread_id", "bucket")
+
+
+def clustered(rows: DataFrame) -> DataFrame:
+    """Rows of one folder brought together before writing, so that a folder gets one file and not one per task; AQE
+    divides folders that are large and joins tasks that are small."""
+    return rows.hint("rebalance", *LAYOUT)
+
+
 def write_messages(messages: DataFrame, path: str, mode: str = "append") -> None:
     """All messages by chat, thread and bucket; null threads go to the default partition."""
-    with_partition_columns(messages).write.mode(mode).partitionBy("chat_id", "thread_id", "bucket").parquet(path)
+    clustered(with_partition_columns(messages)).write.mode(mode).partitionBy(*LAYOUT).parquet(path)
 
 
 def write_media(messages: DataFrame, path: str, mode: str = "append") -> None:
     """Rows with a medium only, in the same layout."""
     m = messages
     media = m.withColumn("media", fm.chosen_media(m)).where("media is not null")
-    with_partition_columns(media).select("id", "media", "chat_id", "thread_id", "bucket").write.mode(mode).partitionBy(
-        "chat_id", "thread_id", "bucket"
+    clustered(with_partition_columns(media).select("id", "media", *LAYOUT)).write.mode(mode).partitionBy(
+        *LAYOUT
     ).parquet(path)
 
 

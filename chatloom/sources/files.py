@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatloom import schemas
 from chatloom.operators.state import validate_state
+from chatloom.storage import written
 
 
 def table(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -22,28 +28,79 @@ def read_state(spark: SparkSession, path: str) -> DataFrame:
     return validate_state(listed.select(F.explode(F.from_json(F.to_json("c"), "array<string>")).alias("record")))
 
 
+def array_prefix(text: str) -> list:
+    """The elements of a JSON array up to the first that does not parse."""
+    decoder, at, found = json.JSONDecoder(), len(text) - len(text.lstrip()), []
+    if text[at : at + 1] != "[":
+        return found
+    while True:
+        at += 1
+        at += len(text[at:]) - len(text[at:].lstrip())
+        try:
+            value, at = decoder.raw_decode(text, at)
+        except ValueError:
+            return found
+        found.append(value)
+        at += len(text[at:]) - len(text[at:].lstrip())
+        if text[at : at + 1] != ",":
+            return found
+
+
+def _entry(value) -> tuple | None:
+    """The fields of a manifest entry, null where a field has a wrong type."""
+    if not isinstance(value, dict):
+        return None
+    row = tuple(value.get(f.name) for f in schemas.MANIFEST.fields)
+    right = (isinstance(row[0], str), isinstance(row[1], str | None), type(row[2]) in (int, type(None)), isinstance(row[3], str | None))
+    return row if all(right) else None
+
+
 def read_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of all ``*.medias.json`` below ``path`` with the file they are from; files that do not parse are skipped."""
-    schema = schemas.MANIFEST.add("_corrupt", "string")
+    """Entries of all ``*.medias.json`` below ``path`` with the file they are from, in the order of files and entries.
+
+    Of a file that does not parse, or holds an entry of a wrong shape, the entries before the fault are kept; whole files
+    are read by Spark, only the broken ones pass through Python. Entries without a file id are left out.
+    """
+    corrupt = "_corrupt"
+    schema = T.StructType([*schemas.MANIFEST.fields, T.StructField(corrupt, T.StringType())])
     rows = (
         spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.medias.json").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    )
-    source = F.col("_metadata.file_path")
-    return rows.select("*", source.alias("source")).where("_corrupt is null and raw_file_id is not null").drop("_corrupt")
+        .option("pathGlobFilter", "*.medias.json").option("columnNameOfCorruptRecord", corrupt).json(path)
+    ).select("*", F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("_at"))
+    # Parsed once; a file is one task's, so the numbers rise with its entries.
+    rows = written(rows, "manifests-read")
+    broken = rows.where(F.col(corrupt).isNotNull()).groupBy("source").agg(F.max(corrupt).alias("text"))
+    names = [f.name for f in schemas.MANIFEST.fields]
+
+    def salvage(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for source, text in zip(frame["source"], frame["text"], strict=True):
+                for at, value in enumerate(array_prefix(text)):
+                    entry = _entry(value)
+                    if entry is None:
+                        break
+                    found.append((*entry[:2], None if entry[2] is None else str(entry[2]), entry[3], source, at))
+            yield pd.DataFrame(found, columns=[*names, "source", "_at"])
+
+    saved = broken.mapInPandas(salvage, "raw_file_id string, file_name string, file_size string, file_type string, source string, _at long")
+    saved = saved.withColumn("file_size", F.col("file_size").cast("long"))
+    whole = rows.where(F.col(corrupt).isNull()).join(broken.select("source"), "source", "left_anti").select(*saved.columns)
+    return whole.unionByName(saved).where("raw_file_id is not null").orderBy("source", "_at").drop("_at")
 
 
 def read_topic_files(spark: SparkSession, json_path: str, txt_path: str, chat_id: int) -> DataFrame:
-    """One row (chat_id, json, txt) for :func:`chatloom.operators.topics.load_topics`; a missing file is null."""
+    """One row (chat_id, json, txt) for :func:`chatloom.operators.topics.load_topics`; a missing file is null, any
+    other fault an error."""
+    jvm = spark.sparkContext._jvm
 
-    def content(path: str, name: str) -> DataFrame:
-        try:
-            read = spark.read.text(path, wholetext=True).select(F.col("value").alias(name))
-            return read.agg(F.max(name).alias(name))
-        except Exception:  # noqa: BLE001 - the path does not exist
-            return spark.sql(f"select cast(null as string) as {name}")
+    def content(path: str) -> str | None:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+            return None
+        return spark.read.text(path, wholetext=True).agg(F.max("value")).first()[0]
 
-    return content(json_path, "json").crossJoin(content(txt_path, "txt")).select(F.lit(chat_id).cast("long").alias("chat_id"), "*")
+    return spark.createDataFrame([(chat_id, content(json_path), content(txt_path))], "chat_id long, json string, txt string")
 
 
 def tag_of(payload: Column) -> Column:
@@ -57,11 +114,19 @@ def enum_member(value: Column) -> Column:
     return F.regexp_replace(value, r"^[^.]*\.", "")
 
 
-def load_tagged(rows: DataFrame, types: dict[str, str], payload: str = "payload", strict: bool = True) -> DataFrame:
-    """Decodes each JSON object by its tag into one struct column per type of ``types`` (tag to DDL).
+#: Types that exported objects are decoded to, by tag.
+TAGGED_TYPES = {
+    "Message": schemas.MESSAGES, "User": schemas.USER, "Chat": schemas.CHATS,
+    "ForumTopic": T.StructType([T.StructField("id", T.LongType()), T.StructField("title", T.StringType())]),
+}
+
+
+def load_tagged(rows: DataFrame, types: dict[str, str | T.StructType] | None = None, payload: str = "payload", strict: bool = True) -> DataFrame:
+    """Decodes each JSON object by its tag into one struct column per type of ``types`` (tag to schema).
 
     Missing and unknown tags raise an error if ``strict``, else the row is dropped.
     """
+    types = TAGGED_TYPES if types is None else types
     tag = tag_of(F.col(payload))
     tagged = rows.withColumn("tag", tag)
     known = F.coalesce(F.col("tag").isin(*types), F.lit(False))

@@ -13,13 +13,20 @@ SCHEMA = "chat_id long, id long, reply_to_top_message_id long, arrival_seq long"
 OPERATIONS = {EqualTo: "==", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
 
-class RowGroup(InputPartition):
-    def __init__(self, path: str, group: int) -> None:
-        self.path, self.group = path, group
+#: Bytes of a file that one partition is meant to read.
+SPLIT_BYTES = 128 << 20
+
+
+class Share(InputPartition):
+    """Every ``of``-th row group of a file, from the number ``part`` on."""
+
+    def __init__(self, path: str, part: int, of: int) -> None:
+        self.path, self.part, self.of = path, part, of
 
 
 class HistoryReader(DataSourceReader):
-    """One partition per row group; groups whose statistics exclude the pushed bounds are not listed."""
+    """Files are listed on the driver and opened by the tasks, which skip row groups whose statistics exclude the pushed
+    bounds. Paths with a scheme go through the file system of that scheme."""
 
     def __init__(self, options: dict) -> None:
         self.path, self.batch, self.bounds = options["path"], int(options.get("batch_size", 1000)), []
@@ -41,24 +48,31 @@ class HistoryReader(DataSourceReader):
                 return False
         return True
 
+    def _system(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path.removeprefix("file:"))
+
     def partitions(self) -> list[InputPartition]:
-        import pyarrow.dataset as ds
-        import pyarrow.parquet as pq
+        from pyarrow import fs
 
-        found = []
-        for file in ds.dataset(self.path, format="parquet").files:
-            meta = pq.ParquetFile(file).metadata
-            found += [RowGroup(file, g) for g in range(meta.num_row_groups) if self._may_hold(meta.row_group(g))]
-        return found or [RowGroup("", -1)]
+        system, path = self._system()
+        found = system.get_file_info([path])
+        if found[0].type == fs.FileType.Directory:
+            found = system.get_file_info(fs.FileSelector(path, recursive=True))
+        files = [f for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))]
+        shares = [(f.path, max(1, -(-f.size // SPLIT_BYTES))) for f in files]
+        return [Share(path, part, of) for path, of in shares for part in range(of)]
 
     def read(self, partition: InputPartition):
         import pyarrow.parquet as pq
 
-        if partition.group < 0:
-            return
         columns = [c.split()[0] for c in SCHEMA.split(", ")]
-        file = pq.ParquetFile(partition.path)
-        yield from file.iter_batches(batch_size=self.batch, row_groups=[partition.group], columns=columns)
+        with self._system()[0].open_input_file(partition.path) as opened:
+            file = pq.ParquetFile(opened)
+            groups = [g for g in range(partition.part, file.metadata.num_row_groups, partition.of) if self._may_hold(file.metadata.row_group(g))]
+            if groups:
+                yield from file.iter_batches(batch_size=self.batch, row_groups=groups, columns=columns)
 
 
 class HistorySource(DataSource):

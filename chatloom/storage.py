@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import tempfile
 import uuid
@@ -41,6 +42,41 @@ def restored_key(rows: DataFrame, key: str, kind: str) -> DataFrame:
     return rows.select(F.col("_k").cast(kind).alias(key), *rest)
 
 
+def newest_version(spark: SparkSession, folder: str) -> dict | None:
+    """The content of the newest version file of a folder, null if there is none."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+    numbers = [int(n.removesuffix(".json")) for n in names if re.fullmatch(r"\d+\.json", n)]
+    if not numbers:
+        return None
+    stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{folder}/{max(numbers)}.json"))
+    try:
+        return json.loads(str(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+    finally:
+        stream.close()
+
+
+def commit_version(spark: SparkSession, folder: str, content: dict) -> None:
+    """Makes ``content`` the version that it names, in one rename; older files than the one before it are deleted."""
+    jvm, number = spark.sparkContext._jvm, content["version"]
+    path = lambda name: jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    fs = path("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(path(f"{number}.json")):
+        raise RuntimeError(f"version {number} was committed by another writer")
+    attempt = path(f"{number}.{uuid.uuid4().hex}.new")
+    out = fs.create(attempt, True)
+    out.write(bytearray(json.dumps(content).encode()))
+    out.close()
+    if not fs.rename(attempt, path(f"{number}.json")):
+        raise RuntimeError(f"version {number} was committed by another writer")
+    for s in fs.listStatus(path("")):
+        name = s.getPath().getName()
+        if re.fullmatch(r"\d+\.json", name) and int(name.removesuffix(".json")) < number - 1:
+            fs.delete(s.getPath(), False)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a table written by :func:`written` or :func:`new_path`."""
     jvm = spark.sparkContext._jvm

@@ -1,52 +1,33 @@
-"""Live acceptance as a stateful stream with an idempotent sink."""
+"""Live append as a stream into an archive."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
+from chatloom.operators.archive import KINDS, Archive
 from chatloom.schemas import MESSAGES
-from chatloom.sinks.lake import write_batch
-from chatloom.storage import new_path
-
-OUTPUT = "chat_id long, id long, arrival_seq long"
-
-
-def accept(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows above the chat's highest id so far, taken in order of arrival; the mark is kept as state."""
-    mark = state.get[0] if state.exists else None
-    rows = pd.concat(list(frames)).sort_values("arrival_seq", kind="stable")
-    before = rows["id"].cummax().shift()
-    if mark is not None:
-        before = before.fillna(mark).clip(lower=mark)
-    kept = rows[before.isna() | (rows["id"] > before)]
-    if len(rows):
-        top = int(rows["id"].max())
-        state.update((top if mark is None else max(mark, top),))
-    yield kept[["chat_id", "id", "arrival_seq"]]
 
+#: Files of a micro-batch, so that a long history is not taken in at once.
+FILES_PER_TRIGGER = 64
 
-def accepted(stream: DataFrame) -> DataFrame:
-    """Late and repeated rows dropped by id, with no tolerance; rows without chat or id are dropped too."""
-    keyed = stream.where("chat_id is not null and id is not null").select("chat_id", "id", "arrival_seq")
-    return keyed.groupBy("chat_id").applyInPandasWithState(
-        accept, OUTPUT, "mark long", "append", GroupStateTimeout.NoTimeout
-    )
 
+def run_live(
+    spark: SparkSession, source: str, archive: Archive | None = None, chats: DataFrame | None = None, listed: DataFrame | None = None,
+    kinds: tuple[str, ...] = KINDS, schema: StructType = MESSAGES, files_per_trigger: int = FILES_PER_TRIGGER,
+) -> Archive:
+    """Streams all files of ``source`` into the archive and returns it once they are in.
 
-def run_live(spark: SparkSession, source: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Streams all files of ``source`` through :func:`accepted` and returns the committed rows."""
-    reader = spark.readStream.schema(MESSAGES)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    target, marks = new_path(spark, "live"), new_path(spark, "live-marks")
+    The state of a chat is its row in the archive, which is committed with the rows that changed it. The stream's own
+    progress lies beside it, so a stream that is stopped and started again repeats at most the batch it was in, and that
+    one replaces itself. Marks inside a batch are taken in blocks of arrivals, so a chat that holds most of a batch is
+    spread over tasks.
+    """
+    archive = archive or Archive(spark)
     query = (
-        accepted(reader.parquet(source))
-        .writeStream.outputMode("append").option("checkpointLocation", marks).trigger(availableNow=True)
-        .foreachBatch(lambda df, n: write_batch(df, n, target)).start()
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source)
+        .writeStream.option("checkpointLocation", f"{archive.path}/stream").trigger(availableNow=True)
+        .foreachBatch(lambda rows, batch: archive.append(rows, batch, chats, listed, kinds)).start()
     )
     query.awaitTermination()
-    return spark.read.schema(OUTPUT + ", commit long").parquet(target).drop("commit")
+    return archive

@@ -80,7 +80,7 @@ def test_live_drops_late_rows(spark):
 
 def test_stream_equals_batch(spark, data):
     table = files.table(spark, data, "messages").select("chat_id", "id", "arrival_seq")
-    got = {tuple(r) for r in live.run_live(spark, f"{data}/messages.parquet*").collect()}
+    got = {tuple(r) for r in live.run_live(spark, f"{data}/messages.parquet*").rows("messages").select("chat_id", "id", "arrival_seq").collect()}
     assert got == {tuple(r) for r in sync.live_accepted(table).collect()}
 
 
