@@ -123,7 +123,7 @@ def oracle_sql() -> dict[str, str]:
             from a left join t on t.chat_id = a.chat_id group by 1""",
         "manifest_scan": "select raw_file_id, file_name, file_size, file_type from media_manifest where raw_file_id is not null",
         "topic_paging": """with p as (select chat_id, topic_id, max(title) as title from topics group by 1, 2), q as (select *, row_number() over (partition by chat_id order by topic_id desc) as place from p),
-            v as (select *, place - coalesce(lag(place) over (partition by chat_id order by place), 0) as gap from q where regexp_matches(title, '[^\s\p{Z}]'))
+            v as (select *, place - coalesce(lag(place) over (partition by chat_id order by place), 0) as gap from q where regexp_matches(title, '[^\\s\\p{Z}]'))
             select chat_id, topic_id, title from v where not exists (select 1 from v w where w.chat_id = v.chat_id and w.place <= v.place and w.gap > 2)""",
         "topic_titles": "select chat_id, topic_id, trim(regexp_replace(title, '[\\s\\p{Z}]+', ' ', 'g')) as title from topics",
         "topic_upsert": f"select * from {TOPIC_NEW} union all select o.* from {TOPIC_OLD} o where not exists (select 1 from {TOPIC_NEW} n where n.chat_id = o.chat_id and n.topic_id = o.topic_id)",
