@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chatloom.operators.state import current_state
+from chatloom.storage import written
 
 #: Letters that a reader cannot tell apart, Latin first, then Cyrillic, Greek, others.
 LOOKALIKES = (
@@ -153,16 +154,28 @@ def names_of(state: DataFrame) -> DataFrame:
     return now.unpivot(["id"], ["qualname", "username"], "field", "value").where("value <> '' and id is not null")
 
 
+def classes(names: DataFrame) -> DataFrame:
+    """One row per field and spelling with its form and the number of names: names of one field and form look the same.
+
+    Each different spelling is searched once, however many chats have it; bigrams are counted over all names.
+    """
+    spelled = names.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n_names"))
+    return with_canonical(spelled, "value", "form", bigram_counts(names, "value"))
+
+
 def same_looking(names: DataFrame) -> DataFrame:
     """Pairs of different chats whose names look the same without being the same string, smaller id first.
 
-    Only forms spelled in at least two ways take part in the join, so a name that many chats spell alike costs one
-    spelling; what is left is as large as the result.
+    ``names`` holds each id once per field. Different spellings of one form are paired first and then given their chats,
+    so names that are spelled alike are never paired, and the last join is as large as the result.
     """
-    formed = with_canonical(names, "value", "form")
-    spelled = formed.groupBy("field", "form", "value").agg(F.count(F.lit(1)).alias("n"))
+    names = written(names, "names")
+    spelled = written(classes(names), "classes")
     several = spelled.groupBy("field", "form").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("field", "form")
-    part = formed.join(several, ["field", "form"], "left_semi")
-    a = part.select("field", "form", F.col("id").alias("id_a"), F.col("value").alias("_a"))
-    b = part.select("field", "form", F.col("id").alias("id_b"), F.col("value").alias("_b"))
-    return a.join(b, ["field", "form"]).where("id_a < id_b and _a <> _b").select("id_a", "id_b", "field").distinct()
+    part = spelled.join(several, ["field", "form"], "left_semi").select("field", "form", "value")
+    a, b = part.withColumnRenamed("value", "_a"), part.withColumnRenamed("value", "_b")
+    spellings = a.join(b, ["field", "form"]).where("_a < _b").select("field", "_a", "_b")
+    one = names.select("field", F.col("value").alias("_a"), F.col("id").alias("_i"))
+    other = names.select("field", F.col("value").alias("_b"), F.col("id").alias("_j"))
+    pairs = spellings.join(one, ["field", "_a"]).join(other, ["field", "_b"]).where("_i <> _j")
+    return pairs.select(F.least("_i", "_j").alias("id_a"), F.greatest("_i", "_j").alias("id_b"), "field")

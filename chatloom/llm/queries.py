@@ -37,6 +37,10 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.with_canonical(lookalikes.names_of(table(spark, d, "chat_state")), "value", "form")
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.classes(lookalikes.names_of(table(spark, d, "chat_state")))
+
+
 def _sentences(spark: SparkSession, d: str) -> DataFrame:
     records = table(spark, d, "text_records")
     return langid.label_sentences(records, "record_id", "text", langid.fit(records, "record_id", "text", "lang"))
@@ -94,7 +98,7 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
-        p1_found, p1_conversations, p1_sessions, p2_found, p2_forms, p3_found, p3_stretches, p6_found, p6_redacted,
+        p1_found, p1_conversations, p1_sessions, p2_found, p2_forms, p2_classes, p3_found, p3_stretches, p6_found, p6_redacted,
         p7_packed, p7_fill, p8_found, p8_spans,
         p9_found, p9_scores, p9_rates,
     )

@@ -27,7 +27,7 @@ def test_query_equals_sql(spark, data, name):
     assert not extra and not missing and rows > 0
 
 
-@pytest.mark.parametrize("name", ["p3_found", "p6_redacted", "p7_fill", "p9_rates", "p8_spans", "p2_forms"])
+@pytest.mark.parametrize("name", ["p3_found", "p6_redacted", "p7_fill", "p9_rates", "p8_spans", "p2_forms", "p2_classes"])
 def test_query_runs(spark, data, name):
     assert queries.queries()[name](spark, data).count() > 0
 
@@ -130,6 +130,17 @@ def test_search_prefers_the_script_of_the_corpus(spark):
     assert lattice.canonical("моcт") == "мост" and lattice.canonical("оver") == "over"
 
 
+def test_printed_forms_follow_the_script_of_a_token(spark):
+    """Classes alone would print Latin letters; the search prints the script that the letters around speak for."""
+    names = [(1, "qualname", "Cосна и ель"), (2, "qualname", "Сoсна и ель"), (3, "qualname", "Сосна и ель"), (4, "qualname", "Pоrt cосktail"), (5, "qualname", "Port cocktail"), (6, "username", "nothing")]
+    frame = spark.createDataFrame([*names, *((i, "qualname", "Port cocktail") for i in range(10, 15))], "id long, field string, value string")
+    rows = lookalikes.classes(frame).collect()
+    assert {r.form for r in rows if r.field == "qualname"} == {"Сосна и ель", "Port cocktail"}
+    assert {r.value: r.n_names for r in rows}["Port cocktail"] == 6 and len(rows) == 6
+    got = sorted(tuple(r) for r in lookalikes.same_looking(frame).collect())
+    assert got == sorted([(1, 2, "qualname"), (1, 3, "qualname"), (2, 3, "qualname"), (4, 5, "qualname"), *((4, i, "qualname") for i in range(10, 15))])
+
+
 def test_pairs_equal_brute_force(spark):
     names = ["Radio Club", "Rаdio Club", "Radio\xa0Club", "Radio Club", "radio Club", "Radiö Club", "Radio Club!", "", None, "Ｒadio Club", "Café", "Café", "Cafe"]
     rows = [(i, None, n, 1) for i, n in enumerate(names)] + [(0, None, "Old name", 0), (50, "x", "Radio Club", 2)]
