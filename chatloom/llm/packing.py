@@ -32,6 +32,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Documents of one size are numbered in this many independent lists, so that no size is ranked by one task.
 LISTS = 256
+#: Items for which one list is meant.
+LIST_ITEMS = 1 << 20
 #: Ranks stay below this number.
 RANKS = 1 << 44
 
@@ -123,12 +125,13 @@ class Plan:
         return self.rows
 
 
-def ranked(items: DataFrame, key: str, lists: int = LISTS) -> tuple[DataFrame, dict[int, int]]:
+def ranked(items: DataFrame, key: str, lists: int | None = None) -> tuple[DataFrame, dict[int, int]]:
     """Items with their rank among those of one size, and the number of items by size.
 
-    Ranks count inside (size, list) and are moved by the sizes of the lists before, which are at most ``capacity`` times
-    ``lists`` numbers.
+    Ranks count inside (size, list) and are moved by the sizes of the lists before. The number of lists follows the
+    number of items, so that a size that all of them share, as the full pieces of long texts do, is spread as well.
     """
+    lists = lists or max(LISTS, items.count() // LIST_ITEMS)
     listed = items.withColumn("_list", F.pmod("_h", F.lit(lists)).cast("int"))
     sums = listed.groupBy("size", "_list").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("size").orderBy("_list").rowsBetween(Window.unboundedPreceding, -1)
@@ -158,6 +161,18 @@ def pack(documents: DataFrame, key: str, text: str, capacity: int = CAPACITY, to
     return rows.select(key, "piece", "start_token", "size", place)
 
 
+def invariants(packed: DataFrame, key: str, capacity: int = CAPACITY) -> DataFrame:
+    """One row that tells whether the packing is whole: documents placed, those whose pieces do not make up the document
+    from its first to its last token, containers above the capacity, documents divided that would have fitted."""
+    each = packed.groupBy(key).agg(F.sum("size").alias("_all"), F.max(F.col("start_token") + F.col("size")).alias("_end"), F.count(F.lit(1)).alias("_n"))
+    docs = each.agg(
+        F.count(F.lit(1)).alias("n_docs"), F.count_if(F.col("_all") != F.col("_end")).alias("n_gaps"),
+        F.count_if((F.col("_n") > 1) & (F.col("_all") <= capacity)).alias("n_divided_without_need"),
+    )
+    full = packed.groupBy("container_id").agg(F.sum("size").alias("_used")).agg(F.count_if(F.col("_used") > capacity).alias("n_overfull"))
+    return docs.join(F.broadcast(full), F.lit(True)).select("n_docs", "n_gaps", "n_overfull", "n_divided_without_need")
+
+
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Containers, tokens, share of used room and the least number of containers that could do."""
     each = packed.groupBy("container_id").agg(F.sum("size").alias("used"))

@@ -55,6 +55,10 @@ def p3_stretches(spark: SparkSession, d: str) -> DataFrame:
     return langid.stretches(_sentences(spark, d), "record_id")
 
 
+def p3_records(spark: SparkSession, d: str) -> DataFrame:
+    return langid.record_languages(table(spark, d, "text_records"), _sentences(spark, d), "record_id")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.find(table(spark, d, "text_records"), "record_id", "text").select("record_id", "line_no", "kind").distinct()
 
@@ -71,6 +75,10 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(packing.pack(table(spark, d, "documents"), "doc_id", "text"))
 
 
+def p7_invariants(spark: SparkSession, d: str) -> DataFrame:
+    return packing.invariants(packing.pack(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     spans = leakage.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
     return spans.select("doc_id", "item_id").distinct()
@@ -98,8 +106,8 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
-        p1_found, p1_conversations, p1_sessions, p2_found, p2_forms, p2_classes, p3_found, p3_stretches, p6_found, p6_redacted,
-        p7_packed, p7_fill, p8_found, p8_spans,
+        p1_found, p1_conversations, p1_sessions, p2_found, p2_forms, p2_classes, p3_found, p3_stretches, p3_records, p6_found, p6_redacted,
+        p7_packed, p7_fill, p7_invariants, p8_found, p8_spans,
         p9_found, p9_scores, p9_rates,
     )
     return {f.__name__: f for f in named}
@@ -121,8 +129,30 @@ lost as (select chat_id, thread_id from judged where not opened or asked is null
 """
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def same_looking_sql() -> str:
+    """Names by a form that replaces each character by the first of its class; full-width forms stand for all
+    compatibility forms, which is enough for names without ligatures and the like."""
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
+    first = {ord(c): g[0] for g in lookalikes.LOOKALIKES for c in g}
+    source = "".join(c for g in lookalikes.LOOKALIKES for c in g[1:]) + wide + lookalikes.HYPHENS + lookalikes.APOSTROPHES
+    target = "".join(g[0] for g in lookalikes.LOOKALIKES for _ in g[1:]) + "".join(map(chr, range(0x21, 0x7F))).translate(first)
+    target += "-" * len(lookalikes.HYPHENS) + "'" * len(lookalikes.APOSTROPHES)
+    ignorable = "[\\p{Cf}" + "".join(f"\\x{{{ord(c):04X}}}" for c in lookalikes.IGNORABLE) + "]"
+    form = f"translate(nfc_normalize(regexp_replace(value, '{ignorable}', '', 'g')), {_quoted(source)}, {_quoted(target)})"
+    return f"""with s as (select id, qualname, username from chat_state qualify row_number() over (partition by id order by ord desc) = 1),
+        n as (select id, field, value from s unpivot (value for field in (qualname, username)) where value <> '' and id is not null),
+        k as (select *, trim(regexp_replace({form}, '[\\s\\p{{Z}}]+', ' ', 'g')) as form from n)
+        select a.id as id_a, b.id as id_b, a.field from k a join k b on a.field = b.field and a.form = b.form and a.id < b.id and a.value <> b.value"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": same_looking_sql(),
+        "p7_invariants": "select count(*) as n_docs, cast(0 as bigint) as n_gaps, cast(0 as bigint) as n_overfull, cast(0 as bigint) as n_divided_without_need from documents where text <> ''",
         "p1_found": f"with {COUNTED} select * from lost",
         "p1_conversations": f"""with {COUNTED} select chat_id, thread_id, row_number() over (partition by chat_id, thread_id order by id) - 1 as turn, id, role, body
             from members m where not exists (select 1 from lost l where l.chat_id = m.chat_id and l.thread_id = m.thread_id)""",
