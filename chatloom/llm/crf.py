@@ -14,7 +14,8 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-OFFSETS = (-3, -2, -1, 0, 1, 2, 3)
+#: Neighbour positions and how many of a token's features count there, the most telling first.
+OFFSETS = {-3: 2, -2: 2, -1: 6, 0: 99, 1: 6, 2: 2, 3: 2}
 WORD_SIZE, PAIR_SIZE = 1 << 14, 1 << 15
 TOKEN = re.compile(r"\d+|[^\W\d_]+|[^\s]", re.U)
 _DIGITS = re.compile(r"\d")
@@ -41,7 +42,7 @@ def features(word: str, glued: bool, flags: str) -> list[str]:
     out = [f"w={_DIGITS.sub('0', low)}", f"s={shape}", f"g={shape[:1]}{glued}", f"f={flags}", f"fs={flags}{shape}"]
     if word.isalpha():
         script = "c" if "Ѐ" <= word[0] <= "ԯ" else "l"
-        out += [f"p={low[:3]}", f"e={low[-3:]}", f"e4={low[-4:]}", f"n={min(len(word), 10)}", f"c={script}{shape}"]
+        out += [f"e={low[-3:]}", f"p={low[:3]}", f"e4={low[-4:]}", f"n={min(len(word), 10)}", f"c={script}{shape}"]
     elif word.isdigit():
         out += [f"d={min(len(word), 12)}", f"d0={word[0] == '0'}"]
     return out
@@ -136,9 +137,9 @@ class Model:
         total = np.zeros((*batch.shape, len(self.labels)), np.float32)
         used, local = present(batch, len(ids))
         ids, mask = ids[used], mask[used]
-        for k, offset in enumerate(OFFSETS):
+        for k, (offset, width) in enumerate(OFFSETS.items()):
             scores = np.zeros((len(ids), len(self.labels)), np.float32)
-            for f in range(ids.shape[1]):
+            for f in range(min(width, ids.shape[1])):
                 scores += self.word[k, ids[:, f]] * mask[:, f, None]
             total += scores[shifted(local, offset)]
         for p in pair_ids(batch, words, shapes):
@@ -172,7 +173,7 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 def train(
     sentences: list[tuple[list[tuple[str, bool]], list[int]]], labels: Sequence[str], allowed: np.ndarray,
-    flags: Callable[[str], str], epochs: int = 8, size: int = 256, rate: float = 0.25, decay: float = 1e-5, seed: int = 7,
+    flags: Callable[[str], str], epochs: int = 10, size: int = 256, rate: float = 0.25, decay: float = 1e-5, seed: int = 7,
 ) -> Model:
     """Fits the weights on labelled token rows."""
     model, vocabulary = Model(labels, allowed), Vocabulary(flags)
@@ -217,10 +218,10 @@ def train(
             moves[0] += first
             flat = gradient.reshape(-1, n).astype(np.float32)
             used, local = present(batch, len(ids))
-            own, weight = ids[used], mask[used]
-            rows = np.unique(own)
-            at = np.searchsorted(rows, own).ravel()
-            for k, offset in enumerate(OFFSETS):
+            for k, (offset, width) in enumerate(OFFSETS.items()):
+                own, weight = ids[used, :width], mask[used, :width]
+                rows = np.unique(own)
+                at = np.searchsorted(rows, own).ravel()
                 by_token = _sum_rows(shifted(local, offset).ravel(), flat, len(used))
                 step = _sum_rows(at, (by_token[:, None] * weight[:, :, None]).reshape(-1, n), len(rows))
                 _climb(model.word[k], sums[0][k], rows, step, rate, decay)
