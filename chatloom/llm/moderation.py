@@ -30,8 +30,11 @@ from chatloom.llm.leakage import _FOLD, _PREFIX
 from chatloom.storage import restored_key
 
 CATEGORIES = ("abuse", "hate", "sexual")
-#: Most labelled documents the model is fitted on, taken in the order of a hash of their id.
-LABELLED = 6000
+#: Most labelled documents the model is fitted on, taken in the order of a hash of their id, and the longest of them in
+#: characters; together they bound what the driver holds.
+LABELLED, LABELLED_CHARS = 6000, 20_000
+#: Windows whose features a task remembers, as sentences are repeated.
+REMEMBERED = 50_000
 FOLDS = 4
 THRESHOLD = 0.5
 WINDOW, STRIDE = 16, 8
@@ -40,12 +43,12 @@ OTHER_WEIGHT = 0.6
 
 #: Built-in word lists, in the collapsed form of :func:`key_of`.
 LISTS = {
-    "abuse": "moron idiot imbecile cretin loser scumbag bastard parasite clown worthless useless pathetic filthy stupid disgusting brainless spineless dumb fool trash vollidiot idioten dreckiges maul gueule crétin imbécil asco deficiente schifoso sparisci idiotą idiota zamknij тупой идиот заткнись жалкий aptal salak kapa debiel klootzak rotzak ідіот дурень заткнися choke hell vanished scraped".split(),
-    "hate": "vermin subhuman filth breed breeds disease wiped thieves liars crawling swamp human kind blood rats infest exterminate deport driven burned untermensch parasites savages".split(),
-    "sexual": "nudes naked horny sext sex porn xxx nudity breasts thighs moaning stroking undress uncensored explicit singles cam clip clips begged hard bare nude erotic orgasm dick pussy cock tits fuck cum blowjob".split(),
+    "abuse": "moron idiot imbecile cretin loser scumbag bastard parasite clown worthless useless pathetic filthy stupid disgusting brainless spineless dumb fool trash vollidiot idioten dreckiges maul gueule crétin imbécil asco deficiente schifoso sparisci idiotą idiota zamknij тупой идиот заткнись жалкий aptal salak kapa debiel klootzak rotzak ідіот дурень заткнися choke".split(),
+    "hate": "vermin subhuman filth breed breeds disease thieves liars rats infest exterminate deport untermensch parasites savages cockroaches inferior scum".split(),
+    "sexual": "nudes naked horny sext sex porn xxx nudity breasts thighs moaning stroking undress uncensored explicit nude erotic orgasm dick pussy cock tits fuck cum blowjob".split(),
 }
 #: Words for the person spoken to, and words that speak of a group.
-YOU = set("you your yours u ya yourself du dich dir dein deine dreckiges ihr euch tu toi te ton ta vous eres te tú tus usted sei ti tuo você voce jesteś ty cię тебя ты твой ти тебе sen sana je jij jou".split())
+YOU = set("you your yours u ya yourself du dich dir dein deine ihr euch tu toi te ton ta vous eres te tú tus usted sei ti tuo você voce jesteś ty cię тебя ты твой ти тебе sen sana je jij jou".split())
 GROUP = set("all they them their people folk every kind ones those newcomers".split())
 
 _SPLIT = re.compile(r"(?<=[.?!…])[\"')]*\s+|\n+")
@@ -111,7 +114,7 @@ class Window:
         return sum(c in "!?" or ord(c) > 0x1F300 for c in self.clean)
 
 
-def windows(text: str) -> list[Window]:
+def pieces(text: str) -> list[str]:
     """Sentences of the text, long ones in overlapping windows."""
     out = []
     for sentence in _SPLIT.split(_PREFIX.sub("\n", text)):
@@ -120,12 +123,16 @@ def windows(text: str) -> list[Window]:
         parts = sentence.split(" ")
         spaced = sum(len(p) <= 1 for p in parts) > 6
         if len(parts) <= WINDOW + STRIDE or (spaced and len(parts) <= 3 * WINDOW):
-            out.append(Window(sentence))
+            out.append(sentence)
         else:
-            out += [Window(" ".join(parts[i : i + WINDOW])) for i in range(0, len(parts) - STRIDE, STRIDE)]
+            out += [" ".join(parts[i : i + WINDOW]) for i in range(0, len(parts) - STRIDE, STRIDE)]
     return out
 
 
+def windows(text: str) -> list[Window]:
+    return [Window(piece) for piece in pieces(text)]
+
+
 def grams(words: list[str]) -> Iterator[str]:
     yield from words
     for a, b in zip(words, words[1:], strict=False):
@@ -157,6 +164,7 @@ class Lexicon:
                     found.setdefault(g, [0.0] * 3)[i] = float(min(weight, 5) * (here / (here + beside)))
         self.weights = {g: tuple(w) for g, w in found.items()}
         self.hot = {g for g, w in self.weights.items() if " " not in g and max(w) > 1.2} | set().union(*self.lists.values())
+        self.memo: dict[str, np.ndarray | None] = {}
         self.masked: dict[str, str] = {}
         for w in sorted(self.hot, key=lambda w: max(self.weights.get(w, (0.5,)))):
             for length in (len(w), len(w) + 1, len(w) + 2):
@@ -182,42 +190,59 @@ class Lexicon:
         """Pooled features of a document; windows without a listed word leave no trace."""
         best = np.zeros(self.N_FEATURES)
         for window in found:
-            words = window.words
-            if self.hot.isdisjoint(words) and not any(w[0] in "*ai" for w in words):
-                continue
-            words = self.read(words)
-            hot = [i for i, w in enumerate(words) if w in self.hot]
-            if not hot:
-                continue
-            n = len(words)
-            row = np.zeros(self.N_FEATURES)
-            weight = np.zeros(3)
-            strong = np.zeros(3)
-            for g in set(grams(words)):
-                w = self.weights.get(g)
-                if w is not None:
-                    long = g.count(" ")
-                    weight += w
-                    if long == 2:
-                        strong += w
-            row[0:3], row[3:6], row[6:9] = weight, weight / n, strong
-            you = [i for i, w in enumerate(words) if w in YOU]
-            group = [i for i, w in enumerate(words) if w in GROUP]
-            for k, c in enumerate(CATEGORIES):
-                listed = [i for i in hot if words[i] in self.lists[c]]
-                row[9 + k] = len(listed) / n
-                row[12 + k] = max((1 / (1 + min(abs(i - j) for j in you)) for i in listed), default=0) if you else 0
-            row[15] = max((1 / (1 + min(abs(i - j) for j in group)) for i in hot), default=0) if group else 0
-            row[16], row[17], row[18] = len(you) / n, window.capitals, min(window.marks, 5)
-            row[19], row[20], row[21] = min(window.disguises, 6), len(hot) / n, n
-            for k in range(3):
-                # How far the window speaks for this category rather than another.
-                others = [j for j in range(3) if j != k]
-                row[22 + k] = max(0.0, row[9 + k] - max(row[9 + j] for j in others))
-                row[25 + k] = max(0.0, weight[k] - max(weight[j] for j in others))
-            np.maximum(best, row, out=best)
+            row = self.row(window)
+            if row is not None:
+                np.maximum(best, row, out=best)
         return best
 
+    def read_text(self, text: str) -> np.ndarray:
+        """:func:`features` of a text; windows that occur again are read once."""
+        best = np.zeros(self.N_FEATURES)
+        for piece in pieces(text):
+            if piece not in self.memo:
+                if len(self.memo) >= REMEMBERED:
+                    self.memo.clear()
+                self.memo[piece] = self.row(Window(piece))
+            row = self.memo[piece]
+            if row is not None:
+                np.maximum(best, row, out=best)
+        return best
+
+    def row(self, window: Window) -> np.ndarray | None:
+        """Features of a window, null without a listed word."""
+        words = window.words
+        if self.hot.isdisjoint(words) and not any(w[0] in "*ai" for w in words):
+            return None
+        words = self.read(words)
+        hot = [i for i, w in enumerate(words) if w in self.hot]
+        if not hot:
+            return None
+        n = len(words)
+        row = np.zeros(self.N_FEATURES)
+        weight, strong = [0.0] * 3, [0.0] * 3
+        for g in set(grams(words)):
+            w = self.weights.get(g)
+            if w is not None:
+                weight = [a + b for a, b in zip(weight, w, strict=True)]
+                if g.count(" ") == 2:
+                    strong = [a + b for a, b in zip(strong, w, strict=True)]
+        row[0:3], row[3:6], row[6:9] = weight, [x / n for x in weight], strong
+        you = [i for i, w in enumerate(words) if w in YOU]
+        group = [i for i, w in enumerate(words) if w in GROUP]
+        for k, c in enumerate(CATEGORIES):
+            listed = [i for i in hot if words[i] in self.lists[c]]
+            row[9 + k] = len(listed) / n
+            row[12 + k] = max((1 / (1 + min(abs(i - j) for j in you)) for i in listed), default=0) if you else 0
+        row[15] = max((1 / (1 + min(abs(i - j) for j in group)) for i in hot), default=0) if group else 0
+        row[16], row[17], row[18] = len(you) / n, window.capitals, min(window.marks, 5)
+        row[19], row[20], row[21] = min(window.disguises, 6), len(hot) / n, n
+        for k in range(3):
+            # How far the window speaks for this category rather than another.
+            others = [j for j in range(3) if j != k]
+            row[22 + k] = max(0.0, row[9 + k] - max(row[9 + j] for j in others))
+            row[25 + k] = max(0.0, weight[k] - max(weight[j] for j in others))
+        return row
+
 
 def count_grams(found: list[Window]) -> set[str]:
     return {g for w in found for g in grams(w.words)}
@@ -264,7 +289,7 @@ class Moderator:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Probability of each category for each text."""
-        x = np.stack([self.lexicon.features(windows(t)) for t in texts]) if texts else np.zeros((0, Lexicon.N_FEATURES))
+        x = np.stack([self.lexicon.read_text(t) for t in texts]) if texts else np.zeros((0, Lexicon.N_FEATURES))
         out = np.zeros((len(x), len(CATEGORIES)))
         for k, c in enumerate(CATEGORIES):
             if c in self.trees:
@@ -275,17 +300,24 @@ class Moderator:
 
 
 def labelled_sample(documents: DataFrame, key: str, text: str, labels: DataFrame, bound: int = LABELLED) -> list[tuple[str, set[str]]]:
-    """Texts with their categories, at most ``bound`` documents."""
+    """Texts with their categories in the order of a hash of their id, within the bounds."""
     given = labels.where("category is not null").groupBy("doc_id").agg(F.collect_set("category").alias("_c"))
     chosen = given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).withColumnRenamed("doc_id", "_id")
-    texts = documents.select(F.col(key).alias("_id"), F.col(text).alias("_t")).where("_t is not null")
-    rows = texts.join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id"), "_id")
-    return [(r["_t"], set(r["_c"])) for r in rows.select("_t", "_c").toLocalIterator()]
+    texts = documents.select(F.col(key).alias("_id"), F.col(text).alias("_t")).where(F.length("_t") <= LABELLED_CHARS)
+    # Repeated rows of a document count once, so the bound holds for what is collected.
+    rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("_t").alias("_t"), F.first("_c").alias("_c"))
+    found = rows.select(F.xxhash64("_id").alias("_h"), F.col("_id").cast("string").alias("_id"), "_t", "_c").collect()
+    return [(r["_t"], set(r["_c"])) for r in sorted(found, key=lambda r: (r["_h"], r["_id"]))]
+
+
+def fit(documents: DataFrame, key: str, text: str, labels: DataFrame) -> Moderator:
+    """The model of the labelled documents, for any number of calls of :func:`score`."""
+    return Moderator(labelled_sample(documents, key, text, labels))
 
 
-def score(documents: DataFrame, key: str, text: str, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def score(documents: DataFrame, key: str, text: str, labels: DataFrame, keep: tuple[str, ...] = (), model: Moderator | None = None) -> DataFrame:
     """One row per document: key, columns to keep and a probability per category."""
-    model = Moderator(labelled_sample(documents, key, text, labels))
+    model = model or fit(documents, key, text, labels)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     types = dict(documents.dtypes)
 
