@@ -17,6 +17,8 @@ import numpy as np
 #: Neighbour positions and how many of a token's features count there, the most telling first.
 OFFSETS = {-3: 2, -2: 2, -1: 6, 0: 99, 1: 6, 2: 2, 3: 2}
 WORD_SIZE, PAIR_SIZE = 1 << 14, 1 << 15
+#: Tokens whose features are kept.
+KEPT = 200_000
 TOKEN = re.compile(r"\d+|[^\W\d_]+|[^\s]", re.U)
 _DIGITS = re.compile(r"\d")
 
@@ -49,41 +51,57 @@ def features(word: str, glued: bool, flags: str) -> list[str]:
 
 
 class Vocabulary:
-    """Distinct tokens of a batch with their feature ids."""
+    """Distinct tokens of a batch with their feature ids; what is known of a token is kept from batch to batch."""
 
-    def __init__(self, flags: Callable[[str], str]) -> None:
-        self.flags, self.index, self.rows, self.words, self.shapes = flags, {}, [], [], []
+    def __init__(self, flags: Callable[[str], str], known: dict | None = None) -> None:
+        self.flags, self.known, self.index = flags, {} if known is None else known, {}
+        self.rows: list[tuple] = []
+        self.chunks: dict[str, list[int]] = {}
 
     def add(self, word: str, glued: bool) -> int:
         key = (word, glued)
         at = self.index.get(key)
         if at is None:
             at = self.index[key] = len(self.rows) + 1  # 0 is the padding
-            self.rows.append([hashed(f, WORD_SIZE) for f in features(word, glued, self.flags(word))])
-            shape = word_shape(word)
-            self.words.append(zlib.crc32(word.lower().encode("utf-8", "surrogatepass")))
-            self.shapes.append(zlib.crc32(f"{shape}{glued}".encode("utf-8", "surrogatepass")))
+            row = self.known.get(key)
+            if row is None:
+                if len(self.known) >= KEPT:
+                    self.known.clear()
+                code = lambda text: zlib.crc32(text.encode("utf-8", "surrogatepass"))
+                ids = [hashed(f, WORD_SIZE) for f in features(word, glued, self.flags(word))]
+                row = self.known[key] = (ids, code(word.lower()), code(f"{word_shape(word)}{glued}"))
+            self.rows.append(row)
         return at
 
+    def ids_of(self, text: str) -> list[int]:
+        """Numbers of the tokens of a text; what stands between blanks is cut into tokens once a batch."""
+        out: list[int] = []
+        for chunk in text.split():
+            ids = self.chunks.get(chunk)
+            if ids is None:
+                ids = self.chunks[chunk] = [self.add(w, g) for _, _, w, g in tokens_of(chunk)]
+            out += ids
+        return out
+
     def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(feature ids, their mask, word codes, shape codes), row 0 for the padding."""
-        width = max([len(r) for r in self.rows], default=1)
+        width = max([len(r[0]) for r in self.rows], default=1)
         ids, mask = np.zeros((len(self.rows) + 1, width), np.int32), np.zeros((len(self.rows) + 1, width), np.float32)
-        for i, row in enumerate(self.rows, 1):
+        for i, (row, _, _) in enumerate(self.rows, 1):
             ids[i, : len(row)], mask[i, : len(row)] = row, 1
         mask[0, 0] = 1
-        return ids, mask, np.array([7, *self.words], np.uint64), np.array([11, *self.shapes], np.uint64)
+        return ids, mask, np.array([7, *(r[1] for r in self.rows)], np.uint64), np.array([11, *(r[2] for r in self.rows)], np.uint64)
 
 
 def tokens_of(text: str) -> list[tuple[int, int, str, bool]]:
     """(start, end, normalized token, glued) of a text; offsets are those of the text itself."""
     out, last = [], -1
     for m in TOKEN.finditer(text):
-        word = m.group()
+        word, (start, end) = m.group(), m.span()
         if not word.isascii():
             word = unicodedata.normalize("NFKC", word) or word
-        out.append((m.start(), m.end(), word, m.start() == last))
-        last = m.end()
+        out.append((start, end, word, start == last))
+        last = end
     return out
 
 
@@ -147,16 +165,28 @@ class Model:
         return total
 
     def decode(self, batch: np.ndarray, tables: tuple) -> np.ndarray:
-        """Best labels of each row; those of the padding mean nothing."""
+        """Best labels of each row; those of the padding mean nothing.
+
+        The first label throughout is best, without a search, where no token gains by another label even with the two
+        best transitions beside it; that holds for most rows.
+        """
         scores = self.emissions(batch, tables)
+        best = np.zeros(batch.shape, np.int8)
+        gain = scores[:, :, 1:].max(2) - scores[:, :, 0] + 2 * (self.move.max() - self.move[0, 0])
+        open_rows = np.flatnonzero(((gain >= 0) & (batch != 0)).any(1))
+        if len(open_rows):
+            best[open_rows] = self._search(scores[open_rows], batch[open_rows] == 0)
+        return best
+
+    def _search(self, scores: np.ndarray, padded: np.ndarray) -> np.ndarray:
         rows, length, n = scores.shape
         back = np.zeros((rows, length, n), np.int8)
         start = scores[:, 0] + self.move[0]
         for t in range(1, length):
             reach = start[:, :, None] + self.move[None]
             back[:, t] = reach.argmax(1)
-            following = reach.max(1) + scores[:, t]
-            pad = batch[:, t] == 0
+            following = np.take_along_axis(reach, back[:, t, None], 1)[:, 0] + scores[:, t]
+            pad = padded[:, t]
             back[pad, t], following[pad] = np.arange(n), start[pad]
             start = following
         best = np.zeros((rows, length), np.int8)

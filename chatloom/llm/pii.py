@@ -201,18 +201,18 @@ class Tagger:
     """Spans of a batch of texts."""
 
     def __init__(self, model: crf.Model, given: Container[str] = (), family: Container[str] = ()) -> None:
-        self.model = model
+        self.model, self.known = model, {}
         self.flags = flagger(lambda w: w in given, lambda w: w in family)
 
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int, str]]]:
         """For each text (message number, start, end, kind), in order."""
-        vocabulary = crf.Vocabulary(self.flags)
+        vocabulary = crf.Vocabulary(self.flags, self.known)
         rows = []
         for i, text in enumerate(texts):
             for number, start, end in message_bodies(text):
-                tokens = [(start + a, start + b, w, g) for a, b, w, g in crf.tokens_of(text[start:end])]
-                if tokens:
-                    rows.append((i, number, tokens, np.array([vocabulary.add(w, g) for _, _, w, g in tokens], np.int32)))
+                ids = vocabulary.ids_of(text[start:end])
+                if ids:
+                    rows.append((i, number, (start, end), ids))
         found: list[list[tuple[int, int, int, str]]] = [[] for _ in texts]
         tables = vocabulary.tables()
         rows.sort(key=lambda r: len(r[3]))
@@ -246,11 +246,13 @@ class Tagger:
         return 2 <= len(words) <= 5 and any(self.flags(w) for w in words)
 
     def _collect(self, text: str, row: tuple, tags: np.ndarray, out: list) -> None:
-        _, number, tokens, _ = row
-        if not tags[: len(tokens)].any():
+        _, number, (first, stop), ids = row
+        if not tags[: len(ids)].any():
             return
+        # Offsets are needed only where something is found.
+        tokens = [(first + a, first + b) for a, b, _, _ in crf.tokens_of(text[first:stop])]
         open_span: list | None = None
-        for (start, end, _, _), tag in zip([*tokens, (0, 0, "", False)], [*tags[: len(tokens)], 0], strict=True):
+        for (start, end), tag in zip([*tokens, (0, 0)], [*tags[: len(tokens)], 0], strict=True):
             label = LABELS[tag]
             if open_span and (label == "O" or label.startswith("B-")):
                 kind = open_span[2]
