@@ -64,6 +64,40 @@ def key_of(word: str) -> str:
     return _RUN.sub(r"\1", word)
 
 
+class Memo(dict):
+    """Results of a function of a word, kept for a bounded number of words."""
+
+    def __init__(self, compute) -> None:
+        super().__init__()
+        self.compute = compute
+
+    def __missing__(self, word: str):
+        if len(self) >= 1 << 18:
+            self.clear()
+        self[word] = value = self.compute(word)
+        return value
+
+
+def plain_of(token: str) -> str:
+    """The word a token stands for; a masked one by first letter, length and last letter."""
+    if token.isalpha():
+        return key_of(token)
+    if token.isdigit():
+        return "0"
+    if "*" in token:
+        return f"*{token[0]}{len(token)}{'' if token.endswith('*') else token[-1]}"
+    return key_of(token.translate(_LEET))
+
+
+def disguised(token: str) -> bool:
+    if token.isalpha():
+        return len(token) - len(key_of(token)) > 1 and bool(_THRICE.search(token))
+    return not token.isdigit()
+
+
+PLAIN, DISGUISED = Memo(plain_of), Memo(disguised)
+
+
 class Window:
     """Words of a window with what its disguises and spelling tell."""
 
@@ -83,22 +117,9 @@ class Window:
         low = self.clean.lower()
         if _SPACED.search(low):
             low = _SPACED.sub(self._join, low)
-        self.words: list[str] = []
-        for token in _TOKEN.findall(low):
-            if token.isalpha():
-                key = key_of(token)
-                if len(token) - len(key) > 1 and _THRICE.search(token):
-                    self.disguises += 1
-                self.words.append(key)
-            elif token.isdigit():
-                self.words.append("0")
-            elif "*" in token:
-                self.disguises += 1
-                end = "" if token.endswith("*") else token[-1]
-                self.words.append(f"*{token[0]}{len(token)}{end}")
-            else:
-                self.disguises += 1
-                self.words.append(key_of(token.translate(_LEET)))
+        tokens = _TOKEN.findall(low)
+        self.words: list[str] = list(map(PLAIN.__getitem__, tokens))
+        self.disguises += sum(map(DISGUISED.__getitem__, tokens))
 
     def _join(self, m: re.Match) -> str:
         self.disguises += 1
@@ -121,8 +142,7 @@ def pieces(text: str) -> list[str]:
         if not sentence or sentence.isspace():
             continue
         parts = sentence.split(" ")
-        spaced = sum(len(p) <= 1 for p in parts) > 6
-        if len(parts) <= WINDOW + STRIDE or (spaced and len(parts) <= 3 * WINDOW):
+        if len(parts) <= WINDOW + STRIDE or (len(parts) <= 3 * WINDOW and sum(len(p) <= 1 for p in parts) > 6):
             out.append(sentence)
         else:
             out += [" ".join(parts[i : i + WINDOW]) for i in range(0, len(parts) - STRIDE, STRIDE)]
@@ -165,6 +185,7 @@ class Lexicon:
         self.weights = {g: tuple(w) for g, w in found.items()}
         self.hot = {g for g, w in self.weights.items() if " " not in g and max(w) > 1.2} | set().union(*self.lists.values())
         self.memo: dict[str, np.ndarray | None] = {}
+        self.resolved = Memo(self._resolve)
         self.masked: dict[str, str] = {}
         for w in sorted(self.hot, key=lambda w: max(self.weights.get(w, (0.5,)))):
             for length in (len(w), len(w) + 1, len(w) + 2):
@@ -173,16 +194,16 @@ class Lexicon:
 
     def read(self, words: list[str]) -> list[str]:
         """Words with masks resolved and an article split off a word whose letters were apart."""
-        out = []
-        for w in words:
-            if w in self.hot:
-                pass
-            elif w[0] == "*":
-                w = self.masked.get(w, w)
-            elif len(w) > 4 and w[0] in "ai" and key_of(w[1:]) in self.hot:
-                w = key_of(w[1:])
-            out.append(w)
-        return out
+        return list(map(self.resolved.__getitem__, words))
+
+    def _resolve(self, w: str) -> str:
+        if w in self.hot:
+            return w
+        if w[0] == "*":
+            return self.masked.get(w, w)
+        if len(w) > 4 and w[0] in "ai" and key_of(w[1:]) in self.hot:
+            return key_of(w[1:])
+        return w
 
     N_FEATURES = 3 * 7 + 7
 
@@ -210,13 +231,10 @@ class Lexicon:
 
     def row(self, window: Window) -> np.ndarray | None:
         """Features of a window, null without a listed word."""
-        words = window.words
-        if self.hot.isdisjoint(words) and not any(w[0] in "*ai" for w in words):
+        words = self.read(window.words)
+        if self.hot.isdisjoint(words):
             return None
-        words = self.read(words)
         hot = [i for i, w in enumerate(words) if w in self.hot]
-        if not hot:
-            return None
         n = len(words)
         row = np.zeros(self.N_FEATURES)
         weight, strong = [0.0] * 3, [0.0] * 3
@@ -287,6 +305,12 @@ class Moderator:
             self.curves[c] = isotonic(out, y, weight)
             self.trees[c] = Boosted().fit(x, y, weight)
 
+    def __getstate__(self) -> dict:
+        """The model without what is remembered of the training texts."""
+        self.lexicon.memo.clear()
+        self.lexicon.resolved.clear()
+        return self.__dict__
+
     def scores(self, texts: list[str]) -> np.ndarray:
         """Probability of each category for each text."""
         x = np.stack([self.lexicon.read_text(t) for t in texts]) if texts else np.zeros((0, Lexicon.N_FEATURES))
