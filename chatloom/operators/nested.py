@@ -1,8 +1,10 @@
 """Nested JSON records as flat tables with links from child to parent (Dewey labelling).
 
 Every value of a record gets an ordinal path identifier: the positions of the fields and elements that lead to it. The
-parent of a tagged object is found by cutting identifiers from the right until one names a tagged object. Objects of
-one tag form a table; objects without a tag are folded into their nearest tagged ancestor under dotted field names.
+parent of a tagged object is found by cutting identifiers from the right until one names a tagged object. Nodes are
+grouped by schema path, which is the path without positions; the schema paths of one tag together form its table. Objects
+without a tag are folded into their nearest tagged ancestor under dotted field names. Arrays of such objects or of plain
+values form child tables with a row per element, so the columns of a table do not grow with the length of an array.
 
 Defined results: null payloads and payloads that do not parse (``NaN`` and trailing text included) give no rows; a root
 that is an array has no tag, so its elements have a null parent; of a repeated field name the last value counts; null
@@ -22,10 +24,13 @@ from pyspark.sql import functions as F
 from chatloom.storage import new_path, restored_key, written
 
 NODE_FIELDS = (
-    "node_path string, parent_path string, label string, schema_path string, kind string, fields map<string,string>"
+    "node_path string, parent_path string, label string, schema_path string, kind string, fields map<string,string>, "
+    "elements map<string,map<string,string>>"
 )
 _SPACE = re.compile(r"[ \t\n\r]*")
 _NUMBER = re.compile(r"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?")
+#: An element of an array, up to its last position, and the name within it.
+_ELEMENT = re.compile(r"(.*\[\d+\])\.?([^\[\]]*)$", re.S)
 _WORDS = {"true": True, "false": False, "null": None}
 
 
@@ -109,8 +114,21 @@ def parse(text: str):
         return parse_deep(text)
 
 
+def _put(owner: list, name: str, x) -> None:
+    value = x if isinstance(x, str) or x is None else json.dumps(x)
+    m = _ELEMENT.match(name)
+    if m:
+        owner[6].setdefault(m[1], {})[m[2] or "value"] = value
+    else:
+        owner[5][name] = value
+
+
 def label_nodes(root) -> Iterator[tuple]:
-    """(node_path, parent_path, label, schema_path, kind, fields) of each tagged object, the root included."""
+    """(node_path, parent_path, label, schema_path, kind, fields, elements) of each tagged object, the root included.
+
+    ``fields`` are the plain values of the object by dotted name, ``elements`` those inside its arrays, by the element
+    and the name within it (``value`` for a plain element).
+    """
     nearest: dict[tuple, tuple | None] = {}
     found: dict[tuple, list] = {}
     stack = [(root, (), "$", "$", "")]
@@ -120,7 +138,7 @@ def label_nodes(root) -> Iterator[tuple]:
         if isinstance(value, dict) and "_" in value:
             tag = value["_"]
             parent = found[above][0] if above is not None else None
-            found[label] = [path, parent, ".".join(map(str, label)), schema, tag if isinstance(tag, str) else None, {}]
+            found[label] = [path, parent, ".".join(map(str, label)), schema, tag if isinstance(tag, str) else None, {}, {}]
             nearest[label], dotted = label, ""
         else:
             nearest[label] = above
@@ -132,14 +150,14 @@ def label_nodes(root) -> Iterator[tuple]:
                 if isinstance(x, dict | list):
                     inner.append((x, (*label, i), f"{path}.{name}", f"{schema}.{name}", inside))
                 elif owner is not None and not (name == "_" and nearest[label] == label):
-                    owner[5][inside] = x if isinstance(x, str) or x is None else json.dumps(x)
+                    _put(owner, inside, x)
         elif isinstance(value, list):
             for i, x in enumerate(value):
                 inside = f"{dotted}[{i}]"
                 if isinstance(x, dict | list):
                     inner.append((x, (*label, i), f"{path}[{i}]", f"{schema}[]", inside))
                 elif owner is not None:
-                    owner[5][inside] = x if isinstance(x, str) or x is None else json.dumps(x)
+                    _put(owner, inside, x)
         stack.extend(reversed(inner))
     yield from (tuple(x) for x in found.values())
 
@@ -149,7 +167,7 @@ def flatten(records: DataFrame, key: str, payload: str) -> DataFrame:
     kind = dict(records.dtypes)[key]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in re.sub(r"<[^>]*>", "", NODE_FIELDS).split(", ")]
+        names = [c.split()[0] for c in NODE_FIELDS.split(", ")]
         for frame in frames:
             rows = []
             for k, text in zip(frame["_k"], frame["_payload"], strict=True):
@@ -171,39 +189,56 @@ def child_links(nodes: DataFrame, key: str) -> DataFrame:
     return nodes.where("node_path <> '$'").select(key, "node_path", "parent_path")
 
 
+def _columns(source: str, names: list[str], taken: tuple[str, ...]) -> list:
+    """A column per name of a map; one that clashes with a taken name, in any letter case, is prefixed with ``field_``."""
+    used, columns = {x.lower() for x in taken}, []
+    for field in sorted(names):
+        name = field
+        while name.lower() in used:
+            name = f"field_{name}"
+        used.add(name.lower())
+        columns.append(F.element_at(source, F.lit(field)).alias(name))
+    return columns
+
+
 def flat_tables(nodes: DataFrame, key: str) -> dict[str, DataFrame]:
-    """One table per kind, a string column per scalar field seen in it; absent fields are null.
+    """One table per kind with a string column per plain field seen in it, and one per array of a kind, named
+    ``Kind.field[]``, with a row per element that is no tagged object; absent fields are null.
 
-    The kinds and their field names are collected: they are the schema, not the data. A field whose name clashes with a
-    link column, in any letter case, is prefixed with ``field_``.
+    Rows of a kind keep their link to the parent and their schema path, rows of an array the object they belong to and
+    the path of the element. Kinds, arrays and field names are collected: they are the schema, not the data.
     """
-    names = nodes.where("kind is not null").select("kind", F.explode(F.map_keys("fields")).alias("field")).distinct()
-    kinds: dict[str, list[str]] = {k: [] for (k,) in nodes.where("kind is not null").select("kind").distinct().collect()}
-    for k, field in names.collect():
+    known = nodes.where("kind is not null")
+    kinds: dict[str, list[str]] = {k: [] for (k,) in known.select("kind").distinct().collect()}
+    for k, field in known.select("kind", F.explode(F.map_keys("fields"))).distinct().collect():
         kinds[k].append(field)
     links = (key, "node_path", "parent_path", "schema_path")
-    tables = {}
-    for k, fields in kinds.items():
-        used, columns = {x.lower() for x in links}, []
-        for field in sorted(fields):
-            name = field
-            while name.lower() in used:
-                name = f"field_{name}"
-            used.add(name.lower())
-            columns.append(F.element_at("fields", F.lit(field)).alias(name))
-        tables[k] = nodes.where(F.col("kind") == k).select(*links, *columns)
+    tables = {k: known.where(F.col("kind") == k).select(*links, *_columns("fields", fields, links)) for k, fields in kinds.items()}
+    inside = known.select(key, F.col("node_path").alias("parent_path"), "kind", F.explode("elements").alias("_element", "_values"))
+    path = F.concat(F.col("parent_path"), F.lit("."), F.col("_element"))
+    inside = inside.withColumns({"element_path": path, "_array": F.regexp_replace("_element", r"\[\d+\]", "[]")})
+    arrays: dict[tuple[str, str], list[str]] = {}
+    for k, array, field in inside.select("kind", "_array", F.explode(F.map_keys("_values"))).distinct().collect():
+        arrays.setdefault((k, array), []).append(field)
+    links = (key, "parent_path", "element_path")
+    for (k, array), fields in arrays.items():
+        rows = inside.where((F.col("kind") == k) & (F.col("_array") == array))
+        tables[f"{k}.{array}"] = rows.select(*links, *_columns("_values", fields, links))
     return tables
 
 
 def write_tables(nodes: DataFrame, key: str) -> DataFrame:
-    """Writes the flat table of every kind to the shared folder: one row per kind with its path, rows and fields.
+    """Writes the flat tables to the shared folder: one row per table with its path, rows and fields.
 
-    The nodes are written once, so that records are parsed once for all kinds. Nodes with null ``kind`` are in no table.
+    The table of a kind has a folder for each of its schema paths. The nodes are written once, so that records are parsed
+    once for all tables. Nodes with null ``kind`` are in no table.
     """
     spark, base = nodes.sparkSession, new_path(nodes.sparkSession, "tables")
     made = []
-    for n, (kind, rows) in enumerate(sorted(flat_tables(written(nodes, "nodes"), key).items())):
+    for n, (name, rows) in enumerate(sorted(flat_tables(written(nodes, "nodes"), key).items())):
         path = f"{base}/{n}"
-        rows.write.parquet(path)
-        made.append((kind, path, spark.read.schema(rows.schema).parquet(path).count(), len(rows.columns) - 4))
+        by = ["schema_path"] if "schema_path" in rows.columns else []
+        rows.write.partitionBy(*by).parquet(path)
+        stored = spark.read.schema(rows.schema).parquet(path)
+        made.append((name, path, stored.count(), len(rows.columns) - 3 - len(by)))
     return spark.createDataFrame(made, "kind string, path string, n_rows long, n_fields long")

@@ -158,6 +158,10 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": """with n as (select raw_id, t.path as node_path from raw_messages r, json_tree(r.payload) t where json_valid(r.payload) and t.key = '_')
             select n.raw_id, n.node_path, max_by(p.node_path, length(p.node_path)) as parent_path from n left join n p on p.raw_id = n.raw_id
             and (starts_with(n.node_path, p.node_path || '.') or starts_with(n.node_path, p.node_path || '[')) where n.node_path <> '$' group by 1, 2""",
+        "p4_paths": """with n as (select raw_id, t.path as node_path, t.atom as tag from raw_messages r, json_tree(r.payload) t where json_valid(r.payload) and t.key = '_')
+            select n.raw_id, n.node_path, max_by(p.node_path, length(p.node_path)) as parent_path, regexp_replace(n.node_path, '\\[\\d+\\]', '[]', 'g') as schema_path,
+            any_value(case when json_type(n.tag) = 'VARCHAR' then n.tag ->> '$' end) as kind from n left join n p on p.raw_id = n.raw_id
+            and (starts_with(n.node_path, p.node_path || '.') or starts_with(n.node_path, p.node_path || '[')) group by 1, 2""",
         "p4_users": """with n as (select raw_id, payload, t.path as node_path, t.atom as tag from raw_messages r, json_tree(r.payload) t where json_valid(r.payload) and t.key = '_')
             select n.raw_id, n.node_path, max_by(p.node_path, length(p.node_path)) as parent_path, any_value(json_extract_string(n.payload, n.node_path || '.id')) as id,
             any_value(json_extract_string(n.payload, n.node_path || '.first_name')) as first_name from n left join n p on p.raw_id = n.raw_id

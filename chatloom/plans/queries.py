@@ -360,6 +360,12 @@ def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
     return nested.flatten(table(spark, d, "raw_messages"), "raw_id", "payload")
 
 
+def p4_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Every node with its parent, its schema path and its kind."""
+    nodes = nested.flatten(table(spark, d, "raw_messages"), "raw_id", "payload")
+    return nodes.select("raw_id", "node_path", "parent_path", "schema_path", "kind")
+
+
 def p4_users(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of one kind."""
     nodes = nested.flatten(table(spark, d, "raw_messages"), "raw_id", "payload")
@@ -407,7 +413,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         forum_chats, topic_lookup, chat_avatars, media_queue, message_media_split,
         topics_fallback, event_text_case, author_label, text_render, text_concat, media_coalesce, media_filename,
         media_directories, skip_existing, human_readable_size, json_props, tagged_load, paged_history,
-        paged_history_whole, media_slots_used, p4_found, p4_nodes, p4_users, p4_tables, p5_found, p5_messages,
+        paged_history_whole, media_slots_used, p4_found, p4_nodes, p4_paths, p4_users, p4_tables, p5_found, p5_messages,
         p5_whole_messages,
     )
     return {f.__name__: f for f in named}

@@ -62,8 +62,11 @@ def test_edges(spark):
     nodes = nested.flatten(frame, "raw_id", "payload")
     links = sorted((tuple(r) for r in nested.child_links(nodes, "raw_id").collect()), key=str)
     assert links == [(5, "$[1]", None), (5, "$[2][0]", None), (6, "$.b.c", "$")]
-    c = nested.flat_tables(nodes, "raw_id")["C"].first()
-    assert c["v[0]"] == "1" and c["v[1].w"] == "z"
+    tables = nested.flat_tables(nodes, "raw_id")
+    assert set(tables) == {"A", "C", "C.v[]"} and tables["C"].columns == ["raw_id", "node_path", "parent_path", "schema_path"]
+    elements = sorted((r.asDict() for r in tables["C.v[]"].collect()), key=lambda r: r["element_path"])
+    link = {"raw_id": 6, "parent_path": "$.b.c"}
+    assert elements == [link | {"element_path": "$.b.c.v[0]", "value": "1", "w": None}, link | {"element_path": "$.b.c.v[1]", "value": None, "w": "z"}]
     assert nested.flatten(frame.limit(0), "raw_id", "payload").count() == 0
 
 
@@ -83,9 +86,19 @@ def test_every_kind_gets_its_table(spark, tmp_path):
     rows = [(1, '{"_": "A", "n": 1, "u": {"_": "User", "id": 7, "x y": [true, null]}}'), (2, '{"_": "A", "m": "t", "e": [{"_": "E/1"}, {"_": "User"}]}')]
     spark.createDataFrame(rows, "raw_id long, payload string").write.parquet(str(tmp_path / "raw_messages.parquet"))
     listed = queries()["p4_tables"](spark, str(tmp_path)).collect()
-    assert {(r.kind, r.n_rows, r.n_fields) for r in listed} == {("A", 2, 2), ("E/1", 1, 0), ("User", 2, 3)}
+    assert {(r.kind, r.n_rows, r.n_fields) for r in listed} == {("A", 2, 2), ("E/1", 1, 0), ("User", 2, 1), ("User.x y[]", 2, 1)}
     tables = {r.kind: [x.asDict() for x in spark.read.parquet(r.path).orderBy("raw_id").collect()] for r in listed}
+    assert sorted(r["value"] or "" for r in tables["User.x y[]"]) == ["", "true"]
     links = {"raw_id": 1, "node_path": "$.u", "parent_path": "$", "schema_path": "$.u"}
-    assert tables["User"][0] == links | {"id": "7", "x y[0]": "true", "x y[1]": None}
+    assert tables["User"][0] == links | {"id": "7"}
     assert [(r["n"], r["m"]) for r in tables["A"]] == [("1", None), (None, "t")]
     assert tables["E/1"][0]["parent_path"] == "$"
+
+
+def test_columns_do_not_grow_with_arrays(spark):
+    payload = '{"_": "A", "xs": [' + ", ".join(map(str, range(500))) + '], "m": [[1, 2], [{"k": 3, "l": [4]}]]}'
+    tables = nested.flat_tables(nested.flatten(spark.createDataFrame([(1, payload)], "raw_id long, payload string"), "raw_id", "payload"), "raw_id")
+    assert set(tables) == {"A", "A.xs[]", "A.m[][]", "A.m[][].l[]"} and len(tables["A"].columns) == 4
+    assert tables["A.xs[]"].count() == 500
+    assert {(r.element_path, r.value, r.k) for r in tables["A.m[][]"].collect()} == {("$.m[0][0]", "1", None), ("$.m[0][1]", "2", None), ("$.m[1][0]", None, "3")}
+    assert [(r.parent_path, r.element_path, r.value) for r in tables["A.m[][].l[]"].collect()] == [("$", "$.m[1][0].l[0]", "4")]
