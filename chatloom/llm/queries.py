@@ -152,7 +152,7 @@ def same_looking_sql() -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": same_looking_sql(),
-        "p7_invariants": "select count(*) as n_docs, cast(0 as bigint) as n_gaps, cast(0 as bigint) as n_overfull, cast(0 as bigint) as n_divided_without_need from documents where text <> ''",
+        "p7_invariants": "select count(*) as n_docs, cast(0 as bigint) as n_gaps, cast(0 as bigint) as n_overfull, cast(0 as bigint) as n_divided_without_need from documents where text is not null",
         "p1_found": f"with {COUNTED} select * from lost",
         "p1_conversations": f"""with {COUNTED} select chat_id, thread_id, row_number() over (partition by chat_id, thread_id order by id) - 1 as turn, id, role, body
             from members m where not exists (select 1 from lost l where l.chat_id = m.chat_id and l.thread_id = m.thread_id)""",
