@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping
 from dataclasses import dataclass
 from pathlib import Path
@@ -51,6 +52,18 @@ class SyncConfig:
     json_dir: Path | None = None
     text_dir: Path | None = None
     download_attachments: bool = False
+    state_dir: Path | None = None
+
+    @classmethod
+    def from_environment(cls, env: Mapping[str, str], root: Path) -> SyncConfig:
+        """Settings by name; everything is exported, to folders below ``root``, unless a setting says otherwise."""
+        as_json, as_text = bool_setting(env, "EXPORT_JSON", True), bool_setting(env, "EXPORT_TEXT", True)
+        return cls(
+            as_json, as_text,
+            path_setting(env, "JSON_EXPORT_ROOT", root / "json") if as_json else None,
+            path_setting(env, "TEXT_EXPORT_ROOT", root / "txt") if as_text else None,
+            bool_setting(env, "DOWNLOAD_ATTACHMENTS", True), path_setting(env, "STATE_ROOT", root / "state"),
+        )
 
     def __post_init__(self) -> None:
         problems = {
@@ -62,3 +75,14 @@ class SyncConfig:
         for text, holds in problems.items():
             if holds:
                 raise ValueError(text)
+
+
+def configure_logging(logger: logging.Logger, folder: Path) -> None:
+    """Everything to ``process.log`` in the folder, what matters to the console; earlier handlers are dropped."""
+    logger.setLevel(logging.DEBUG)
+    logger.handlers.clear()
+    folder.mkdir(parents=True, exist_ok=True)
+    for handler, level in ((logging.StreamHandler(), logging.INFO), (logging.FileHandler(folder / "process.log", encoding="utf-8"), logging.DEBUG)):
+        handler.setLevel(level)
+        handler.setFormatter(logging.Formatter("[%(asctime)s] %(levelname)s (%(name)s): %(message)s"))
+        logger.addHandler(handler)

@@ -110,3 +110,25 @@ def topic_entries(objects: DataFrame, payload: str = "payload") -> DataFrame:
 def topics_by_id(topics: DataFrame, ids: list[int]) -> DataFrame:
     """Point look-up; the list reaches the scan as a filter."""
     return topics.where(F.col("topic_id").isin(ids))
+
+
+def input_channels(peers: DataFrame, payload: str = "payload") -> DataFrame:
+    """Channel references of tagged peer objects: their kind, channel, access hash, and peer and message they come from.
+
+    References pass as they are, peers of channels become references; objects of any other tag give a null kind.
+    """
+    v = F.try_parse_json(F.col(payload))
+    at = lambda name, kind: F.try_variant_get("_v", f"$.{name}", kind)
+    tagged = peers.select("*", v.alias("_v")).withColumn("_tag", at("_", "string"))
+    kind = (
+        F.when(F.col("_tag").isin("InputChannel", "InputPeerChannel"), F.lit("InputChannel"))
+        .when(F.col("_tag").isin("InputChannelFromMessage", "InputPeerChannelFromMessage"), F.lit("InputChannelFromMessage"))
+        .when(F.col("_tag") == "InputChannelEmpty", F.lit("InputChannelEmpty"))
+    )
+    filled = lambda c, name: F.when(F.col("kind") == name, c)
+    return tagged.withColumn("kind", kind).select(
+        *(c for c in peers.columns if c != payload), "kind", F.when(F.col("kind") != "InputChannelEmpty", at("channel_id", "bigint")).alias("channel_id"),
+        filled(at("access_hash", "bigint"), "InputChannel").alias("access_hash"),
+        filled(F.to_json(at("peer", "variant")), "InputChannelFromMessage").alias("peer"),
+        filled(at("msg_id", "bigint"), "InputChannelFromMessage").alias("msg_id"),
+    )

@@ -62,8 +62,6 @@ FILES = f"""
     coalesce({case_of('m.mime_type', MIME_EXTENSIONS)}, {case_of('upper(m.kind)', DEFAULT_EXTENSIONS)}, '.unknown')) end as n
   from (select arrival_seq, {MEDIA} as m from messages) where m is not null and coalesce(m.big_file_id, m.file_id) is not null)))
 """
-TOPIC_OLD = "(select chat_id, topic_id, min(title) as title from topics where topic_id % 3 <> 0 group by 1, 2)"
-TOPIC_NEW = "(select chat_id, topic_id, max(title) as title from topics where topic_id % 2 = 0 group by 1, 2)"
 TOPIC_FIRST = "(select chat_id, topic_id, min(title) as title from topics group by 1, 2)"
 TOPIC_RENAMED = "(select chat_id, topic_id, max(title) as title from topics group by 1, 2 having count(distinct title) > 1)"
 CHUNKS = (
@@ -126,10 +124,8 @@ def oracle_sql() -> dict[str, str]:
             v as (select *, place - coalesce(lag(place) over (partition by chat_id order by place), 0) as gap from q where regexp_matches(title, '[^\\s\\p{Z}]'))
             select chat_id, topic_id, title from v where not exists (select 1 from v w where w.chat_id = v.chat_id and w.place <= v.place and w.gap > 2)""",
         "topic_titles": "select chat_id, topic_id, trim(regexp_replace(title, '[\\s\\p{Z}]+', ' ', 'g')) as title from topics",
-        "topic_upsert": f"select * from {TOPIC_NEW} union all select o.* from {TOPIC_OLD} o where not exists (select 1 from {TOPIC_NEW} n where n.chat_id = o.chat_id and n.topic_id = o.topic_id)",
-        "topic_replace": f"select * from {TOPIC_NEW} union all select o.* from {TOPIC_OLD} o where o.chat_id not in (select chat_id from {TOPIC_NEW})",
-        "topic_upsert_whole": f"select * from {TOPIC_RENAMED} union all select o.* from {TOPIC_FIRST} o where not exists (select 1 from {TOPIC_RENAMED} n where n.chat_id = o.chat_id and n.topic_id = o.topic_id)",
-        "topic_replace_whole": f"with fresh as (select chat_id, topic_id, max(title) as title from topics where chat_id in (select chat_id from {TOPIC_RENAMED}) group by 1, 2) select * from fresh union all select o.* from {TOPIC_FIRST} o where o.chat_id not in (select chat_id from fresh)",
+        "topic_upsert": f"select * from {TOPIC_RENAMED} union all select o.* from {TOPIC_FIRST} o where not exists (select 1 from {TOPIC_RENAMED} n where n.chat_id = o.chat_id and n.topic_id = o.topic_id)",
+        "topic_replace": f"with fresh as (select chat_id, topic_id, max(title) as title from topics where chat_id in (select chat_id from {TOPIC_RENAMED}) group by 1, 2) select * from fresh union all select o.* from {TOPIC_FIRST} o where o.chat_id not in (select chat_id from fresh)",
         "topic_exists": "select chat_id, id, reply_to_top_message_id, arrival_seq from messages m where exists (select 1 from topics t where t.chat_id = m.chat_id and t.topic_id = m.reply_to_top_message_id)",
         "topic_unknown": "select distinct chat_id, reply_to_top_message_id from messages m where reply_to_top_message_id is not null and not exists (select 1 from topics t where t.chat_id = m.chat_id and t.topic_id = m.reply_to_top_message_id)",
         "keyset_page": "select chat_id, topic_id, max(title) as title from topics group by 1, 2 having topic_id < 40 or (topic_id = 40 and chat_id < 0) order by topic_id desc, chat_id desc limit 100",
@@ -152,8 +148,7 @@ def oracle_sql() -> dict[str, str]:
         "human_readable_size": f"select distinct file_size, {human_size()} as shown from media_manifest",
         "json_props": "select event_type, cast(props ->> '$.k' as int) as k, count(*) as n from events group by 1, 2",
         "tagged_load": "select raw_id, payload ->> '$._' as tag, cast(payload ->> '$.id' as bigint) as id, payload ->> '$.date' as date from raw_messages where json_valid(payload) and payload ->> '$._' = 'Message'",
-        "paged_history": "select chat_id, count(*) as n, max(id) as latest_message_id from messages where id < 20 group by 1",
-        "paged_history_whole": "select chat_id, count(*) as n, max(id) as latest_message_id from messages group by 1",
+        "paged_history": "select chat_id, count(*) as n, max(id) as latest_message_id from messages group by 1",
         "media_slots_used": " union all ".join(f"select '{s}' as slot, count({s}) as n_messages from messages" for s in MEDIA_SLOTS),
         "p4_found": """with n as (select raw_id, t.path as node_path from raw_messages r, json_tree(r.payload) t where json_valid(r.payload) and t.key = '_')
             select n.raw_id, n.node_path, max_by(p.node_path, length(p.node_path)) as parent_path from n left join n p on p.raw_id = n.raw_id

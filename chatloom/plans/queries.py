@@ -179,21 +179,6 @@ def topic_titles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _topic_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    t = table(spark, d, "topics")
-    old = t.where("topic_id % 3 <> 0").groupBy("chat_id", "topic_id").agg(F.min("title").alias("title"))
-    new = t.where("topic_id % 2 = 0").groupBy("chat_id", "topic_id").agg(F.max("title").alias("title"))
-    return old, new
-
-
-def topic_upsert(spark: SparkSession, d: str) -> DataFrame:
-    return topics.upsert_topics(*_topic_sides(spark, d))
-
-
-def topic_replace(spark: SparkSession, d: str) -> DataFrame:
-    return topics.upsert_topics(*_topic_sides(spark, d), full=True)
-
-
-def _whole_topic_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """All topics under their first title; those listed under several titles, under their last."""
     named = table(spark, d, "topics").groupBy("chat_id", "topic_id").agg(
         F.min("title").alias("first"), F.max("title").alias("last")
@@ -202,13 +187,13 @@ def _whole_topic_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFram
     return old, named.where("first <> last").select("chat_id", "topic_id", F.col("last").alias("title"))
 
 
-def topic_upsert_whole(spark: SparkSession, d: str) -> DataFrame:
-    return topics.upsert_topics(*_whole_topic_sides(spark, d))
+def topic_upsert(spark: SparkSession, d: str) -> DataFrame:
+    return topics.upsert_topics(*_topic_sides(spark, d))
 
 
-def topic_replace_whole(spark: SparkSession, d: str) -> DataFrame:
+def topic_replace(spark: SparkSession, d: str) -> DataFrame:
     """Chats with a renamed topic are refreshed with all their topics."""
-    old, renamed = _whole_topic_sides(spark, d)
+    old, renamed = _topic_sides(spark, d)
     last = table(spark, d, "topics").groupBy("chat_id", "topic_id").agg(F.max("title").alias("title"))
     return topics.upsert_topics(old, last.join(renamed.select("chat_id").distinct(), "chat_id", "left_semi"), full=True)
 
@@ -329,20 +314,11 @@ def tagged_load(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("raw_id", "tag", F.col("Message.id").alias("id"), F.col("Message.date").alias("date"))
 
 
-def _history(spark: SparkSession, d: str) -> DataFrame:
-    spark.dataSource.register(HistorySource)
-    return spark.read.format("chat_history").option("path", f"{d}/messages.parquet").load()
-
-
 def paged_history(spark: SparkSession, d: str) -> DataFrame:
-    """The first ids of each chat, by a bound pushed into the scan."""
-    history = _history(spark, d).where("id < 20")
-    return history.groupBy("chat_id").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("latest_message_id"))
-
-
-def paged_history_whole(spark: SparkSession, d: str) -> DataFrame:
     """Every row of the table through the paged source."""
-    return _history(spark, d).groupBy("chat_id").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("latest_message_id"))
+    spark.dataSource.register(HistorySource)
+    history = spark.read.format("chat_history").option("path", f"{d}/messages.parquet").load()
+    return history.groupBy("chat_id").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("latest_message_id"))
 
 
 def media_slots_used(spark: SparkSession, d: str) -> DataFrame:
@@ -409,11 +385,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         chat_mapping_dedup, chat_mapping_lines, dense_chat_type_counts, chat_progress, running_state, state_validation,
         tail_incremental, backfill_resume, backfill_batches, batch_counter, sync_state, live_high_water, live_stream, sync_job, live_append,
         manifest_scan, topic_paging,
-        topic_titles, topic_upsert, topic_replace, topic_upsert_whole, topic_replace_whole, topic_exists, topic_unknown, keyset_page, topic_lines,
+        topic_titles, topic_upsert, topic_replace, topic_exists, topic_unknown, keyset_page, topic_lines,
         forum_chats, topic_lookup, chat_avatars, media_queue, message_media_split,
         topics_fallback, event_text_case, author_label, text_render, text_concat, media_coalesce, media_filename,
         media_directories, skip_existing, human_readable_size, json_props, tagged_load, paged_history,
-        paged_history_whole, media_slots_used, p4_found, p4_nodes, p4_paths, p4_users, p4_tables, p5_found, p5_messages,
+        media_slots_used, p4_found, p4_nodes, p4_paths, p4_users, p4_tables, p5_found, p5_messages,
         p5_whole_messages,
     )
     return {f.__name__: f for f in named}

@@ -1,10 +1,13 @@
 """State, synchronisation, topics, files and streams on small rows."""
 
 import json
+import logging
+from pathlib import Path
 
 import pytest
 
-from chatloom.config import SyncConfig, bool_setting, int_setting, text_setting
+from chatloom.config import SyncConfig, bool_setting, configure_logging, int_setting, text_setting
+from chatloom.functions.sizes import human_readable_float
 from chatloom.operators import media, state, sync, topics
 from chatloom.operators.resume import ResumeIndex
 from chatloom.plans.queries import queries
@@ -223,5 +226,35 @@ def test_every_topic_comes_out(spark, tmp_path):
     rows = [(c, t, f"{c}-{t}") for c in (1, 2, None) for t in range(13)] + [(1, 3, "renamed"), (1, 4, None)]
     spark.createDataFrame(rows, "chat_id long, topic_id long, title string").write.parquet(str(tmp_path / "topics.parquet"))
     want = {r for r in rows if r[2] and r != (1, 3, "1-3")}
-    for name in ("topic_upsert_whole", "topic_replace_whole"):
+    for name in ("topic_upsert", "topic_replace"):
         assert sorted(map(tuple, queries()[name](spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
+
+
+def test_channel_references(spark):
+    rows = [
+        (1, '{"_": "InputPeerChannel", "channel_id": 5, "access_hash": 9}'), (2, '{"_": "InputChannel", "channel_id": 6, "access_hash": 8}'), (3, '{"_": "InputChannelEmpty"}'),
+        (4, '{"_": "InputPeerChannelFromMessage", "channel_id": 7, "msg_id": 3, "peer": {"_": "P"}}'), (5, '{"_": "InputPeerUser", "user_id": 1}'), (6, "{"), (7, None),
+    ]
+    got = [tuple(r) for r in topics.input_channels(spark.createDataFrame(rows, "k long, payload string")).orderBy("k").collect()]
+    assert got == [
+        (1, "InputChannel", 5, 9, None, None), (2, "InputChannel", 6, 8, None, None), (3, "InputChannelEmpty", None, None, None, None),
+        (4, "InputChannelFromMessage", 7, None, '{"_":"P"}', 3), *((k, None, None, None, None, None) for k in (5, 6, 7)),
+    ]
+
+
+def test_environment_and_logging(tmp_path):
+    found = SyncConfig.from_environment({"EXPORT_TEXT": "off", "STATE_ROOT": " /s "}, tmp_path)
+    assert found == SyncConfig(True, False, tmp_path / "json", None, True, Path("/s"))
+    logger = logging.getLogger("chatloom-test")
+    for _ in range(2):
+        configure_logging(logger, tmp_path / "state")
+    logger.debug("kept in the file")
+    assert len(logger.handlers) == 2 and (tmp_path / "state" / "process.log").read_text().count("kept in the file") == 1
+
+
+def test_sizes_with_fractions(spark):
+    cases = {0.0: "0.00 qB", 1.0: "1.00 B", 1000.0: "1000.00 B", 1000.5: "1.00 kB", 0.5: "500.00 mB", 0.001: "1000.00 µB", 2.5e-9: "2.50 nB", 3e21: "3.00 ZB", -5.0: "-5" + "0" * 30 + ".00 qB", 5e31: "50.00 QB"}
+    frame = spark.createDataFrame([(x,) for x in cases] + [(None,)], "n double")
+    got = {r.n: r.shown for r in frame.select("n", human_readable_float(frame["n"], "B").alias("shown")).collect()}
+    assert {k: v for k, v in got.items() if k != -5.0} == {k: v for k, v in cases.items() if k != -5.0} | {None: None}
+    assert got[-5.0].endswith(" qB") and got[-5.0].startswith("-5")

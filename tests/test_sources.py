@@ -37,7 +37,7 @@ def test_source_equals_a_parquet_scan(spark, tmp_path):
 
 def test_whole_history_is_counted(spark, tmp_path):
     history(tmp_path / "messages.parquet")
-    got = {tuple(r) for r in queries()["paged_history_whole"](spark, str(tmp_path)).collect()}
+    got = {tuple(r) for r in queries()["paged_history"](spark, str(tmp_path)).collect()}
     assert got == {(c, len(range(c, 1000, 7)), max(range(c, 1000, 7))) for c in range(7)}
 
 
