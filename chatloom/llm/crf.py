@@ -196,9 +196,23 @@ class Model:
         return best
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
+def _marginals(local: np.ndarray, move: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of the labels of each token, and expected numbers of the moves, by forward and backward sweeps whose
+    sums are kept at one; ``local`` and ``move`` are exponentials of scores."""
+    rows, length, n = local.shape
+    ahead, behind, total = np.zeros_like(local), np.ones_like(local), np.ones((rows, length))
+    ahead[:, 0] = local[:, 0] * move[0]
+    for t in range(length):
+        if t:
+            step = (ahead[:, t - 1] @ move) * local[:, t]
+            ahead[:, t] = np.where(real[:, t, None], step, ahead[:, t - 1])  # padding passes on what was reached
+        total[:, t] = ahead[:, t].sum(1)
+        ahead[:, t] /= total[:, t, None]
+    for t in range(length - 2, -1, -1):
+        step = (local[:, t + 1] * behind[:, t + 1] / total[:, t + 1, None]) @ move.T
+        behind[:, t] = np.where(real[:, t + 1, None], step, 1)
+    reached = (local * behind / total[:, :, None])[:, 1:][real[:, 1:]]
+    return ahead * behind, move * (ahead[:, :-1][real[:, 1:]].T @ reached)
 
 
 def train(
@@ -224,26 +238,12 @@ def train(
             for i, (x, y) in enumerate(part):
                 batch[i, : len(x)], gold[i, : len(x)], real[i, : len(x)] = x, y, True
             scores = model.emissions(batch, tables).astype(np.float64)
-            move = model.move.astype(np.float64)
-            ahead = np.zeros_like(scores)
-            ahead[:, 0] = scores[:, 0] + move[0]
-            for t in range(1, length):
-                ahead[:, t] = scores[:, t] + _lse(ahead[:, t - 1, :, None] + move[None], 1)
-                ahead[~real[:, t], t] = ahead[~real[:, t], t - 1]  # padding passes on what was reached
-            behind = np.zeros_like(scores)
-            for t in range(length - 2, -1, -1):
-                behind[:, t] = _lse(move[None] + (scores[:, t + 1] + behind[:, t + 1])[:, None, :], 2)
-                behind[~real[:, t + 1], t] = 0
-            total = _lse(ahead[:, -1], 1)
-            marginal = np.exp(np.minimum(0, ahead + behind - total[:, None, None]))
+            marginal, joint = _marginals(np.exp(scores - scores.max(2, keepdims=True)), np.exp(model.move.astype(np.float64)), real)
             gradient = -marginal
             np.put_along_axis(gradient, gold[:, :, None], np.take_along_axis(gradient, gold[:, :, None], 2) + 1, 2)
             gradient[~real] = 0
-            moves = np.zeros((n, n))
-            for t in range(1, length):
-                joint = ahead[:, t - 1, :, None] + move[None] + (scores[:, t] + behind[:, t])[:, None, :] - total[:, None, None]
-                moves -= np.exp(np.minimum(0, joint[real[:, t]])).sum(0)
-                np.add.at(moves, (gold[real[:, t], t - 1], gold[real[:, t], t]), 1)
+            follows = real[:, 1:]
+            moves = np.bincount(gold[:, :-1][follows] * n + gold[:, 1:][follows], minlength=n * n).reshape(n, n) - joint
             first = gradient[:, 0].sum(0)
             moves[0] += first
             flat = gradient.reshape(-1, n).astype(np.float32)

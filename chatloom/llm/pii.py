@@ -17,6 +17,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Container, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 import numpy as np
@@ -276,8 +277,10 @@ def redacted(text: str, spans: list[tuple[int, int, int, str]]) -> str:
 
 
 def _tagged(records: DataFrame, key: str, text: str, schema: str, rows_of: Callable) -> DataFrame:
-    given, family = sender_names(records, text)
-    model = train()
+    with ThreadPoolExecutor(1) as beside:  # the tasks count names while the driver fits
+        fitted = beside.submit(train)
+        given, family = sender_names(records, text)
+        model = fitted.result()
     shared = records.sparkSession.sparkContext.broadcast((model.word.astype(np.float16), model.pair.astype(np.float16), model.move, given.field, family.field))
     names = [c.split()[0] for c in schema.split(", ")]
 

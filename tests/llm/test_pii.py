@@ -1,10 +1,12 @@
 """Personal data in lines written by hand, apart from the labelled table and its generator, and the filter of name words."""
 
+import itertools
 import re
 
+import numpy as np
 import pytest
 
-from chatloom.llm import pii
+from chatloom.llm import crf, pii
 
 #: Lines with ``[kind:value]`` where something is to be found; the last lines hold nothing.
 LINES = """
@@ -128,3 +130,21 @@ def test_sender_names_of_a_corpus(spark):
     assert not any(w in given for w in ("blue", "Voskarian", "hello")) and "kettle" not in family
     empty = pii.sender_names(rows.limit(0), "text")
     assert "ann" not in empty[0] and not empty[1].field.any()
+
+
+def test_marginals_equal_brute_force():
+    rng = np.random.default_rng(3)
+    scores, move = rng.normal(size=(2, 4, 3)), rng.normal(size=(3, 3))
+    real = np.array([[1, 1, 1, 1], [1, 1, 0, 0]], bool)
+    got, joint = crf._marginals(np.exp(scores - 5), np.exp(move), real)
+    moves = np.zeros((3, 3))
+    for i, length in enumerate((4, 2)):
+        paths = list(itertools.product(range(3), repeat=length))
+        value = [np.exp(move[0, p[0]] + sum(scores[i, t, x] for t, x in enumerate(p)) + sum(move[a, b] for a, b in itertools.pairwise(p))) for p in paths]
+        for t in range(length):
+            want = [sum(v for p, v in zip(paths, value, strict=True) if p[t] == x) / sum(value) for x in range(3)]
+            assert np.allclose(got[i, t], want)
+        for p, v in zip(paths, value, strict=True):
+            for a, b in itertools.pairwise(p):
+                moves[a, b] += v / sum(value)
+    assert np.allclose(joint, moves)
