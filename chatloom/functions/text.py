@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 #: What stands for a missing date or author.
 UNKNOWN = "unknown"
 UNKNOWN_AUTHOR = "Unknown"
+#: Texts of service messages, in the order in which they are tried.
+ADDED, LEFT, RETITLED = "added to chat: ", "left chat: ", "changed chat title to: "
+PHOTO_REMOVED, PHOTO_CHANGED, CREATED, PINNED = "removed chat photo", "changed chat photo", "created chat", "pinned a message"
 
 
 def filled(value: Column) -> Column:
@@ -45,13 +48,13 @@ def event_text(m) -> Column:
         | F.coalesce(m["channel_chat_created"], F.lit(False))
     )
     return (
-        F.when(F.size(m["new_chat_members"]) > 0, F.concat(F.lit("added to chat: "), members))
-        .when(m["left_chat_member"].isNotNull(), F.concat(F.lit("left chat: "), display_name(m["left_chat_member"])))
-        .when(filled(m["new_chat_title"]).isNotNull(), F.concat(F.lit("changed chat title to: "), m["new_chat_title"]))
-        .when(F.coalesce(m["delete_chat_photo"], F.lit(False)), F.lit("removed chat photo"))
-        .when(m["new_chat_photo"].isNotNull(), F.lit("changed chat photo"))
-        .when(created, F.lit("created chat"))
-        .when(m["pinned_message"].isNotNull(), F.lit("pinned a message"))
+        F.when(F.size(m["new_chat_members"]) > 0, F.concat(F.lit(ADDED), members))
+        .when(m["left_chat_member"].isNotNull(), F.concat(F.lit(LEFT), display_name(m["left_chat_member"])))
+        .when(filled(m["new_chat_title"]).isNotNull(), F.concat(F.lit(RETITLED), m["new_chat_title"]))
+        .when(F.coalesce(m["delete_chat_photo"], F.lit(False)), F.lit(PHOTO_REMOVED))
+        .when(m["new_chat_photo"].isNotNull(), F.lit(PHOTO_CHANGED))
+        .when(created, F.lit(CREATED))
+        .when(m["pinned_message"].isNotNull(), F.lit(PINNED))
     )
 
 

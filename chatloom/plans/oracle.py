@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from chatloom.functions import text as ft
 from chatloom.functions.media import DEFAULT_EXTENSIONS, MIME_EXTENSIONS
 from chatloom.schemas import CHAT_TYPES, MEDIA_SLOTS
 
@@ -22,15 +23,15 @@ def name_of(user: str) -> str:
 AUTHOR = (
     f"case when from_user is not null then {name_of('from_user')} when sender_chat is not null then "
     "coalesce(nullif(sender_chat.title, ''), nullif(sender_chat.username, ''), cast(sender_chat.id as varchar)) "
-    "else 'Unknown' end"
+    f"else '{ft.UNKNOWN_AUTHOR}' end"
 )
 EVENT = (
-    f"case when len(new_chat_members) > 0 then 'added to chat: ' || array_to_string(list_transform(new_chat_members, lambda u: {name_of('u')}), ', ') "
-    f"when left_chat_member is not null then 'left chat: ' || {name_of('left_chat_member')} "
-    "when nullif(new_chat_title, '') is not null then 'changed chat title to: ' || new_chat_title "
-    "when delete_chat_photo then 'removed chat photo' when new_chat_photo is not null then 'changed chat photo' "
-    "when group_chat_created or supergroup_chat_created or channel_chat_created then 'created chat' "
-    "when pinned_message is not null then 'pinned a message' end"
+    f"case when len(new_chat_members) > 0 then '{ft.ADDED}' || array_to_string(list_transform(new_chat_members, lambda u: {name_of('u')}), ', ') "
+    f"when left_chat_member is not null then '{ft.LEFT}' || {name_of('left_chat_member')} "
+    f"when nullif(new_chat_title, '') is not null then '{ft.RETITLED}' || new_chat_title "
+    f"when delete_chat_photo then '{ft.PHOTO_REMOVED}' when new_chat_photo is not null then '{ft.PHOTO_CHANGED}' "
+    f"when group_chat_created or supergroup_chat_created or channel_chat_created then '{ft.CREATED}' "
+    f"when pinned_message is not null then '{ft.PINNED}' end"
 )
 BODY = f"coalesce(nullif(text, ''), nullif(caption, ''), {EVENT})"
 FILE_ID = f"coalesce({MEDIA}.big_file_id, {MEDIA}.file_id)"
