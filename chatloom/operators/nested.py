@@ -162,17 +162,21 @@ def label_nodes(root) -> Iterator[tuple]:
     yield from (tuple(x) for x in found.values())
 
 
-def flatten(records: DataFrame, key: str, payload: str) -> DataFrame:
-    """One row per tagged object of each record, the root (``$``) included. Other columns of ``records`` are not read."""
+def flatten(records: DataFrame, key: str, payload: str, values: bool = True) -> DataFrame:
+    """One row per tagged object of each record, the root (``$``) included. Other columns of ``records`` are not read.
+
+    Without ``values`` the columns ``fields`` and ``elements`` are left out, which spares their way to Spark.
+    """
+    schema = NODE_FIELDS if values else NODE_FIELDS.split(", fields")[0]
     kind = dict(records.dtypes)[key]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in NODE_FIELDS.split(", ")]
+        names = [c.split()[0] for c in schema.split(", ")]
         for frame in frames:
             rows = []
             for k, text in zip(frame["_k"], frame["_payload"], strict=True):
                 try:
-                    rows += [(k, *node) for node in label_nodes(parse(text))]
+                    rows += [(k, *node[: len(names)]) for node in label_nodes(parse(text))]
                 except ValueError:
                     continue
                 if len(rows) >= 20_000:
@@ -181,7 +185,7 @@ def flatten(records: DataFrame, key: str, payload: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["_k", *names])
 
     narrow = records.select(F.col(key).cast("string").alias("_k"), F.col(payload).alias("_payload")).where("_payload is not null")
-    return restored_key(narrow.mapInPandas(run, f"_k string, {NODE_FIELDS}"), key, kind)
+    return restored_key(narrow.mapInPandas(run, f"_k string, {schema}"), key, kind)
 
 
 def child_links(nodes: DataFrame, key: str) -> DataFrame:

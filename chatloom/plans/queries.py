@@ -328,7 +328,7 @@ def media_slots_used(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    nodes = nested.flatten(table(spark, d, "raw_messages"), "raw_id", "payload")
+    nodes = nested.flatten(table(spark, d, "raw_messages"), "raw_id", "payload", values=False)
     return nested.child_links(nodes, "raw_id")
 
 
@@ -338,7 +338,7 @@ def p4_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_paths(spark: SparkSession, d: str) -> DataFrame:
     """Every node with its parent, its schema path and its kind."""
-    nodes = nested.flatten(table(spark, d, "raw_messages"), "raw_id", "payload")
+    nodes = nested.flatten(table(spark, d, "raw_messages"), "raw_id", "payload", values=False)
     return nodes.select("raw_id", "node_path", "parent_path", "schema_path", "kind")
 
 
