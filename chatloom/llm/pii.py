@@ -109,7 +109,7 @@ def sender_names(records: DataFrame, text: str) -> tuple[NameFilter, NameFilter]
 
     # A segment has a fixed number of places, so a group is as small however many words there are.
     placed = words.mapInPandas(place, "part int, segment long, at long").distinct()
-    for r in placed.groupBy("part", "segment").applyInPandas(fill, "part int, segment long, bits binary").toLocalIterator():
+    for r in placed.groupBy("part", "segment").applyInPandas(fill, "part int, segment long, bits binary").collect():
         start = r.segment * SEGMENT // 8
         filters[r.part].field[start : start + SEGMENT // 8] = np.frombuffer(r.bits, np.uint8)
     return filters[0], filters[1]
