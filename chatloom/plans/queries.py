@@ -16,7 +16,7 @@ from chatloom.operators.archive import KINDS, Archive
 from chatloom.schemas import MEDIA_SLOTS, MESSAGES
 from chatloom.sinks.render import write_manifests
 from chatloom.sources.files import load_tagged, read_manifests, table
-from chatloom.sources.paged import HistorySource
+from chatloom.sources.paged import load_history
 from chatloom.storage import new_path
 from chatloom.streaming.live import run_live
 
@@ -316,8 +316,7 @@ def tagged_load(spark: SparkSession, d: str) -> DataFrame:
 
 def paged_history(spark: SparkSession, d: str) -> DataFrame:
     """Every row of the table through the paged source."""
-    spark.dataSource.register(HistorySource)
-    history = spark.read.format("chat_history").option("path", f"{d}/messages.parquet").load()
+    history = load_history(spark, f"{d}/messages.parquet")
     return history.groupBy("chat_id").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("latest_message_id"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (
     DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan,
     LessThanOrEqual,
@@ -24,19 +25,13 @@ class Share(InputPartition):
         self.path, self.part, self.of = path, part, of
 
 
-class HistoryReader(DataSourceReader):
-    """Files are listed on the driver and opened by the tasks, which skip row groups whose statistics exclude the pushed
-    bounds. Paths with a scheme go through the file system of that scheme."""
+class WholeReader(DataSourceReader):
+    """Files are listed on the driver and opened by the tasks. Paths with a scheme go through the file system of that
+    scheme."""
 
     def __init__(self, options: dict) -> None:
         self.path, self.batch, self.bounds = options["path"], int(options.get("batch_size", 1000)), []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        for f in filters:
-            if type(f) in OPERATIONS and len(f.attribute) == 1 and f.attribute[0] in ("id", "chat_id"):
-                self.bounds.append((f.attribute[0], OPERATIONS[type(f)], f.value))
-            yield f  # Spark checks rows again, so a skipped group is all that pushing has to get right
-
     def _may_hold(self, group) -> bool:
         stats = {group.column(i).path_in_schema: group.column(i).statistics for i in range(group.num_columns)}
         for name, operation, value in self.bounds:
@@ -75,8 +70,18 @@ class HistoryReader(DataSourceReader):
                 yield from file.iter_batches(batch_size=self.batch, row_groups=groups, columns=columns)
 
 
-class HistorySource(DataSource):
-    """``spark.read.format("chat_history").option("path", ...).load()`` after registering the class."""
+class HistoryReader(WholeReader):
+    """Takes bounds on ids over from the query and skips row groups whose statistics exclude them."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        for f in filters:
+            if type(f) in OPERATIONS and len(f.attribute) == 1 and f.attribute[0] in ("id", "chat_id"):
+                self.bounds.append((f.attribute[0], OPERATIONS[type(f)], f.value))
+            yield f  # Spark checks rows again, so a skipped group is all that pushing has to get right
+
+
+class WholeSource(DataSource):
+    """The source for sessions in which filters are not pushed into Python sources."""
 
     @classmethod
     def name(cls) -> str:
@@ -85,5 +90,19 @@ class HistorySource(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
+    def reader(self, schema) -> DataSourceReader:
+        return WholeReader(self.options)
+
+
+class HistorySource(WholeSource):
+    """``spark.read.format("chat_history").option("path", ...).load()`` after registering the class."""
+
     def reader(self, schema) -> DataSourceReader:
         return HistoryReader(self.options)
+
+
+def load_history(spark: SparkSession, path: str) -> DataFrame:
+    """The history through the source that the session's settings allow."""
+    pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false") == "true"
+    spark.dataSource.register(HistorySource if pushed else WholeSource)
+    return spark.read.format("chat_history").option("path", path).load()

@@ -8,7 +8,7 @@ from pyspark.sql.datasource import EqualTo, GreaterThan, IsNotNull, LessThan
 
 from chatloom.operators import blocks
 from chatloom.plans.queries import queries
-from chatloom.sources.paged import HistoryReader, HistorySource
+from chatloom.sources.paged import HistoryReader, HistorySource, load_history
 
 
 def history(path, rows=1000, group=100):
@@ -41,6 +41,18 @@ def test_whole_history_is_counted(spark, tmp_path):
     assert got == {(c, len(range(c, 1000, 7)), max(range(c, 1000, 7))) for c in range(7)}
 
 
+def test_sessions_without_pushed_filters(spark, tmp_path):
+    path = history(tmp_path / "h.parquet")
+    setting = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(setting)
+    try:
+        for value in ("false", "true"):
+            spark.conf.set(setting, value)
+            assert load_history(spark, path).where("id < 7").count() == 7
+    finally:
+        spark.conf.set(setting, before)
+
+
 def test_block_sums_equal_plain_windows(spark):
     random.seed(6)
     rows = [(random.choice([None, 1, 1, 1, 2]), k, random.choice([None, *range(50)])) for k in range(300)]
