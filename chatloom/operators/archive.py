@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chatloom import schemas
 from chatloom.functions import text as ft
@@ -25,12 +26,13 @@ class Archive:
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
         self.spark, self.path = spark, path or new_path(spark, "archive")
+        self.written: dict[str, dict] = {}
 
     # -- reading --------------------------------------------------------------------------------------------------
 
     def version(self) -> dict:
         """The newest commit: its number, where state and topics lie, and the last micro-batch taken in."""
-        return newest_version(self.spark, f"{self.path}/commits") or {"version": 0, "state": None, "topics": None, "batch": -1, "kinds": []}
+        return newest_version(self.spark, f"{self.path}/commits") or {"version": 0, "state": None, "topics": None, "batch": -1, "schemas": {}}
 
     def _table(self, at: str | None, schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(at) if at else self.spark.createDataFrame([], schema)
@@ -44,9 +46,17 @@ class Archive:
     def rows(self, kind: str) -> DataFrame:
         """Committed rows of ``messages``, ``medias`` or ``texts``, with the number of their ``commit`` and their week."""
         found = self.version()
-        if kind not in found["kinds"]:
+        if found["version"] and kind not in found["schemas"]:
             raise ValueError(f"the archive holds no {kind}")
-        return self.spark.read.option("mergeSchema", False).parquet(f"{self.path}/{kind}").where(F.col("commit") <= found["version"])
+        schema = T.StructType.fromJson(found["schemas"][kind]) if found["version"] else self._schema(kind)
+        schema = T.StructType([*schema.fields, T.StructField("commit", T.IntegerType())])
+        if not found["version"]:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{kind}").where(F.col("commit") <= found["version"])
+
+    def _schema(self, kind: str) -> T.StructType:
+        empty = self._derived(kind, self.spark.createDataFrame([], schemas.MESSAGES).withColumn("bucket", F.lit("")))
+        return empty.schema
 
     # -- writing --------------------------------------------------------------------------------------------------
 
@@ -60,20 +70,24 @@ class Archive:
         """Writes the rows and what is derived from them, and returns a scan of the rows."""
         week = ft.week_bucket(F.col("date")).alias("bucket") if "date" in rows.columns else F.lit(ft.UNKNOWN).alias("bucket")
         stored = self._put("messages", rows.select("*", week), number)
-        if "medias" in kinds:
-            listed = media.manifest(stored, F.lit(None).cast("timestamp_ntz"), "bucket")
-            self._put("medias", listed, number)
-        if "texts" in kinds:
-            self._put("texts", text_records(stored, "bucket"), number)
+        self.written = {"messages": stored.schema.jsonValue()}
+        for kind in sorted({*kinds} - {"messages"}):
+            self.written[kind] = self._put(kind, self._derived(kind, stored), number).schema.jsonValue()
         return stored
 
-    def _commit(self, before: dict, number: int, marks: DataFrame, known: DataFrame | None, batch: int, kinds: tuple[str, ...]) -> None:
+    @staticmethod
+    def _derived(kind: str, stored: DataFrame) -> DataFrame:
+        if kind == "medias":
+            return media.manifest(stored, F.lit(None).cast("timestamp_ntz"), "bucket")
+        return text_records(stored, "bucket") if kind == "texts" else stored
+
+    def _commit(self, before: dict, number: int, marks: DataFrame, known: DataFrame | None, batch: int) -> None:
         marks.select(*state.FIELDS).write.mode("overwrite").parquet(f"{self.path}/state/{number}")
         listed = before["topics"]
         if known is not None:
             listed = f"{self.path}/topics/{number}"
             known.select(*schemas.TOPICS.names).write.mode("overwrite").parquet(listed)
-        after = {"version": number, "state": f"{self.path}/state/{number}", "topics": listed, "batch": batch, "kinds": sorted({*before["kinds"], "messages", *kinds})}
+        after = {"version": number, "state": f"{self.path}/state/{number}", "topics": listed, "batch": batch, "schemas": before["schemas"] | self.written}
         commit_version(self.spark, f"{self.path}/commits", after)
         for old in {before["state"], before["topics"]} - {after["state"], after["topics"], None}:
             delete_path(self.spark, old)
@@ -88,7 +102,7 @@ class Archive:
         merged = state.merge_state(state.one_row_each(chats), self.state(), keep_vanished)
         rows, after = sync.synchronise(messages, merged, revive_empty)
         self._export(rows.drop("branch"), number, kinds)
-        self._commit(before, number, after, None, before["batch"], kinds)
+        self._commit(before, number, after, None, before["batch"])
         return number
 
     def append(self, messages: DataFrame, batch: int, chats: DataFrame | None = None, listed: DataFrame | None = None, kinds: tuple[str, ...] = KINDS) -> None:
@@ -120,4 +134,4 @@ class Archive:
             missing = topics.threads_with_topic(stored, old, known=False).select("chat_id", F.col("reply_to_top_message_id").alias("topic_id")).distinct()
             titles = listed.groupBy("chat_id", "topic_id").agg(F.max("title").alias("title"))
             known = topics.upsert_topics(old, titles.join(missing, ["chat_id", "topic_id"], "left_semi").select(*schemas.TOPICS.names))
-        self._commit(before, number, marks, known, batch, kinds)
+        self._commit(before, number, marks, known, batch)

@@ -27,16 +27,23 @@ ORDER = "arrival_seq"
 KNOWN = "chat_id is not null and id is not null"
 #: Rows of a partition: aimed at, and the factor by which a store may outgrow its partitions before it is divided anew.
 PARTITION_ROWS, OUTGROWN = 1 << 20, 4
-#: Least number of partitions; they are also the tasks that write.
-LEAST_PARTITIONS = 8
+#: Least number of partitions, and tasks that write each.
+LEAST_PARTITIONS, TASKS = 8, 2
+#: Copies from which a message is thinned out before rows are exchanged.
+HOT_COPIES = 1000
+
+
+def _block(block: int) -> Column:
+    return F.floor(F.col("id") / block)
 
 
 def _partition(partitions: int, block: int) -> Column:
     """Blocks of neighbouring ids of one chat share a partition; hashing the block spreads a large chat.
 
-    Doubling the number sends the rows of a partition to two partitions and no others there.
+    It is the hash that ``repartition`` uses, so rows repartitioned by chat and block into a multiple of ``partitions``
+    lie in one partition a task. Multiplying the number divides every partition and mixes none.
     """
-    return F.pmod(F.xxhash64("chat_id", F.floor(F.col("id") / block)), F.lit(partitions)).cast("int")
+    return F.pmod(F.hash("chat_id", _block(block)), F.lit(partitions)).cast("int")
 
 
 def repeated(rows: DataFrame) -> DataFrame:
@@ -88,6 +95,25 @@ def first_copies(rows: DataFrame, several: DataFrame | None = None) -> DataFrame
     return single.select(*rows.columns).unionByName(whole).unionByName(rows.where("chat_id is null or id is null"))
 
 
+def placed_copies(rows: DataFrame, several: DataFrame, partitions: int, block: int, place: str) -> DataFrame:
+    """:func:`first_copies` of the rows with identity, with the partition of each as column ``place``, sorted by it.
+
+    One exchange brings the copies of a message and the rows of a partition together. Copies of messages that have very
+    many are dropped before it, all but those with the lowest ``arrival_seq``; such messages are few by their number.
+    """
+    lowest, row, chunk, is_hot = (_unused(rows, name) for name in ("lowest", "row", "chunk", "is_hot"))
+    hot = several.where(F.col("copies") > HOT_COPIES).select(*KEY, F.col("lowest").alias(lowest), F.lit(True).alias(is_hot))
+    known = rows.where(KNOWN).join(hot, [*KEY], "left")
+    known = known.where(F.col(is_hot).isNull() | F.col(ORDER).eqNullSafe(F.col(lowest))).select(*rows.columns)
+    spread = known.withColumn(chunk, _block(block)).repartition(TASKS * partitions, "chat_id", chunk)
+    rest = [c for c in rows.columns if c not in KEY]
+    rank = F.struct(F.col(ORDER).isNull(), F.col(ORDER), _content(rows))
+    # Grouping by the partition first gives the order in which files are written.
+    best = spread.groupBy(_partition(partitions, block).alias(place), "chat_id", chunk, "id").agg(F.min_by(F.struct(*rest), rank).alias(row))
+    whole = best.select(place, *KEY, *(F.col(row).getField(c).alias(c) for c in rest))
+    return whole.select(*rows.columns, place)
+
+
 class DeliveryStore:
     """Partitioned store of first copies in a folder all executors share.
 
@@ -149,20 +175,23 @@ class DeliveryStore:
         n_rows = before["n_rows"] + incoming.count() - removed.count()
         if not before["partitions"]:
             before["partitions"] = self.wanted or 1 << (max(LEAST_PARTITIONS, n_rows // PARTITION_ROWS + 1) - 1).bit_length()
-        after = self._write(before, before["partitions"], parts, first_copies(union, several), n_rows)
+        after = self._write(before, before["partitions"], parts, union, several, n_rows)
         if n_rows > OUTGROWN * PARTITION_ROWS * after["partitions"]:
-            self._write(after, OUTGROWN * after["partitions"], [int(p) for p in after["rows"]], self._scan(after, "rows", incoming.schema), n_rows)
+            everything = self._scan(after, "rows", incoming.schema)
+            self._write(after, OUTGROWN * after["partitions"], [int(p) for p in after["rows"]], everything, several.limit(0), n_rows)
         return removed
 
-    def _write(self, before: dict, partitions: int, replaced: list[int], kept: DataFrame, n_rows: int) -> dict:
-        """Writes rows as the next version, in place of the replaced partitions and beside all others."""
-        version, place = before["version"] + 1, _unused(kept, "_p")
-        # Rows without identity lie beside the partitions.
-        placed = kept.withColumn(place, F.coalesce(_partition(partitions, self.block), F.lit(-1)))
+    def _write(self, before: dict, partitions: int, replaced: list[int], rows: DataFrame, several: DataFrame, n_rows: int) -> dict:
+        """Writes first copies as the next version, in place of the replaced partitions and beside all others."""
+        version, place = before["version"] + 1, _unused(rows, "_p")
         attempt = f"v{version}-{uuid.uuid4().hex[:8]}"
         folder, index = f"{self.path}/rows/{attempt}", f"{self.path}/ids/{attempt}"
-        # One exchange brings a partition together; large ones are divided by size while it is read, small ones joined.
-        placed.hint("rebalance", place).write.partitionBy(place).parquet(folder)
+        placed = placed_copies(rows, several, partitions, self.block, place)
+        placed.write.partitionBy(place).parquet(folder)
+        # Rows without identity lie beside the partitions.
+        loose = rows.where("chat_id is null or id is null")
+        if not loose.isEmpty():
+            loose.withColumn(place, F.lit(-1)).write.mode("append").option("partitionOverwriteMode", "static").partitionBy(place).parquet(folder)
         stored = self.spark.read.option("basePath", folder).schema(placed.schema).parquet(folder)
         stored.where(KNOWN).select(*KEY, place).write.partitionBy(place).parquet(index)
         after = {"version": version, "partitions": partitions, "n_rows": n_rows, "rows": dict(before["rows"]), "ids": dict(before["ids"])}

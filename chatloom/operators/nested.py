@@ -205,6 +205,12 @@ def _columns(source: str, names: list[str], taken: tuple[str, ...]) -> list:
     return columns
 
 
+def flat_table(nodes: DataFrame, key: str, kind: str, fields: tuple[str, ...]) -> DataFrame:
+    """The table of one kind with the named fields, null where a node has none; nothing is collected."""
+    links = (key, "node_path", "parent_path", "schema_path")
+    return nodes.where(F.col("kind") == kind).select(*links, *_columns("fields", list(fields), links))
+
+
 def flat_tables(nodes: DataFrame, key: str) -> dict[str, DataFrame]:
     """One table per kind with a string column per plain field seen in it, and one per array of a kind, named
     ``Kind.field[]``, with a row per element that is no tagged object; absent fields are null.

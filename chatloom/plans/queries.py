@@ -344,7 +344,7 @@ def p4_paths(spark: SparkSession, d: str) -> DataFrame:
 def p4_users(spark: SparkSession, d: str) -> DataFrame:
     """The flat table of one kind."""
     nodes = nested.flatten(table(spark, d, "raw_messages"), "raw_id", "payload")
-    users = nested.flat_tables(nodes.where("kind = 'User'"), "raw_id")["User"]
+    users = nested.flat_table(nodes, "raw_id", "User", ("id", "first_name"))
     return users.select("raw_id", "node_path", "parent_path", "id", "first_name")
 
 

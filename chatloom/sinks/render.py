@@ -168,6 +168,7 @@ def render_exports(messages: DataFrame, folder: str, commit: str | None = None,
 
 def write_manifests(files: DataFrame, folder: str, commit: str | None = None) -> None:
     """Appends the entries of media to one ``<chat>.medias.json`` per chat, in the order of message and file id."""
+    os.makedirs(folder, exist_ok=True)
     entry = F.to_json(F.struct("raw_file_id", "file_name", "file_size", "file_type"), {"ignoreNullFields": "false"})
     stem = F.coalesce(F.col("chat_id").cast("string"), F.lit(ft.UNKNOWN)).alias("stem")
     render_groups(files.select(stem, "message_id", "raw_file_id", entry.alias("item")), folder, ".medias.json", ("message_id", "raw_file_id"), commit or uuid.uuid4().hex)
