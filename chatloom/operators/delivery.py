@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chatloom.storage import commit_version, delete_path, new_path, newest_version, written
@@ -106,12 +106,10 @@ def placed_copies(rows: DataFrame, several: DataFrame, partitions: int, block: i
     known = rows.where(KNOWN).join(hot, [*KEY], "left")
     known = known.where(F.col(is_hot).isNull() | F.col(ORDER).eqNullSafe(F.col(lowest))).select(*rows.columns)
     spread = known.withColumn(chunk, _block(block)).repartition(TASKS * partitions, "chat_id", chunk)
-    rest = [c for c in rows.columns if c not in KEY]
-    rank = F.struct(F.col(ORDER).isNull(), F.col(ORDER), _content(rows))
-    # Grouping by the partition first gives the order in which files are written.
-    best = spread.groupBy(_partition(partitions, block).alias(place), "chat_id", chunk, "id").agg(F.min_by(F.struct(*rest), rank).alias(row))
-    whole = best.select(place, *KEY, *(F.col(row).getField(c).alias(c) for c in rest))
-    return whole.select(*rows.columns, place)
+    # The window needs no other exchange, and beginning with the partition it gives the order in which files are written.
+    copies = Window.partitionBy(place, "chat_id", chunk, "id").orderBy(F.col(ORDER).asc_nulls_last(), _content(rows))
+    ranked = spread.withColumn(place, _partition(partitions, block)).withColumn(row, F.row_number().over(copies))
+    return ranked.where(F.col(row) == 1).select(*rows.columns, place)
 
 
 class DeliveryStore:
