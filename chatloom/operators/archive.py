@@ -100,8 +100,8 @@ class Archive:
         before = self.version()
         number = before["version"] + 1
         merged = state.merge_state(state.one_row_each(chats), self.state(), keep_vanished)
-        rows, after = sync.synchronise(messages, merged, revive_empty)
-        self._export(rows.drop("branch"), number, kinds)
+        rows, after = sync.advance(messages, merged, revive_empty)
+        self._export(rows, number, kinds)
         self._commit(before, number, after, None, before["batch"])
         return number
 

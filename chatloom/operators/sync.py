@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chatloom.operators.blocks import running
@@ -12,6 +12,27 @@ ARRIVALS = 1 << 16
 ID_BLOCK = 1 << 14
 
 
+def _above() -> Column:
+    return F.col("id") > F.col("_high")
+
+
+def _below() -> Column:
+    return (F.col("_low") == 0) | (F.col("id") < F.col("_low"))
+
+
+def _low() -> Column:
+    return F.coalesce("oldest_message_id", F.lit(0)).alias("_low")
+
+
+def _judged(messages: DataFrame, marks: DataFrame, kept: Column) -> DataFrame:
+    """Messages that the marks of their chat keep.
+
+    A semi-join never broadcasts its left side. An inner join may: keys of wide messages are estimated at a hundredth of
+    the file, as sizes go by the widths of columns, and all of them would pass through the driver.
+    """
+    return messages.join(marks, (F.col("chat_id") == F.col("_chat")) & kept, "left_semi")
+
+
 def tail(messages: DataFrame, state: DataFrame) -> DataFrame:
     """Messages above their chat's highest known id; a chat without a mark has no tail."""
     marks = state.select(F.col("id").alias("chat_id"), F.col("latest_message_id").alias("_mark")).where("_mark is not null")
@@ -61,6 +82,32 @@ def live_accepted(messages: DataFrame, marks: DataFrame | None = None) -> DataFr
     return seen.where(F.col("_seen").isNull() | (F.col("id") > F.col("_seen"))).drop("_seen", "_block")
 
 
+def _done(revive_empty: bool) -> Column:
+    done = F.coalesce("history_complete", F.lit(False))
+    return done & (F.col("latest_message_id").isNotNull() | F.col("oldest_message_id").isNotNull()) if revive_empty else done
+
+
+def advance(messages: DataFrame, state: DataFrame, revive_empty: bool = False) -> tuple[DataFrame, DataFrame]:
+    """One pass over all chats: (rows to export, the state after it).
+
+    Complete chats give their tail, others their backfill. Afterwards every chat of the second kind is complete; its
+    lowest mark is the lowest id read, its highest mark is set only where it was null. A chat found empty stays null and
+    is not read again, unless ``revive_empty``.
+    """
+    done = _done(revive_empty)
+    marks = state.select(F.col("id").alias("_chat"), done.alias("_done"), _low(), F.col("latest_message_id").alias("_high"))
+    # One join for both kinds of chats, so that messages are moved once.
+    rows = _judged(messages, marks, F.when(F.col("_done"), _above()).otherwise(_below()))
+    read = rows.groupBy(F.col("chat_id").alias("id")).agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
+    joined = state.join(read, "id", "left")
+    after = joined.withColumns({
+        "oldest_message_id": F.when(done, F.col("oldest_message_id")).otherwise(F.coalesce("_low", "oldest_message_id")),
+        "latest_message_id": F.when(done, F.greatest("latest_message_id", "_high")).otherwise(F.coalesce("latest_message_id", "_high")),
+        "history_complete": F.lit(True),
+    }).drop("_low", "_high")
+    return rows, after
+
+
 def synchronise(messages: DataFrame, state: DataFrame, revive_empty: bool = False) -> tuple[DataFrame, DataFrame]:
     """One pass over all chats: (rows to export with their ``branch``, the state after it).
 

@@ -44,6 +44,22 @@ def test_two_runs_and_an_empty_chat(spark):
     assert sum(r.n for r in archive.rows("texts").groupBy("chat_id").agg({"*": "count"}).toDF("c", "n").collect()) == len(stored(archive))
 
 
+def test_run_never_broadcasts_messages(spark, tmp_path, monkeypatch):
+    """Keys of wide messages look small; the rows here are known to be few, the sizes of the dialog list are unknown."""
+    archive, plans, export = Archive(spark, str(tmp_path / "a")), [], Archive._export
+
+    def noted(self, rows, number, kinds):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return export(self, rows, number, kinds)
+
+    monkeypatch.setattr(Archive, "_export", noted)
+    for top in (4, 6):
+        rows = spark.range(1, top).selectExpr("id div 100 + 1 as chat_id", "id", "id as arrival_seq")
+        archive.synchronise(chats(spark, 1, 2), rows, kinds=("messages",))
+    assert len(plans) == 2 and not any("BuildLeft" in plan for plan in plans)
+    assert stored(archive) == [(1, i) for i in range(1, 6)]
+
+
 def test_a_run_that_stops_leaves_nothing_and_is_repeated(spark, monkeypatch):
     archive, rows = Archive(spark), messages(spark, [(1, 5, 0), (1, 7, 1)])
 
