@@ -109,24 +109,7 @@ def advance(messages: DataFrame, state: DataFrame, revive_empty: bool = False) -
 
 
 def synchronise(messages: DataFrame, state: DataFrame, revive_empty: bool = False) -> tuple[DataFrame, DataFrame]:
-    """One pass over all chats: (rows to export with their ``branch``, the state after it).
-
-    Complete chats give their tail, others their backfill. Afterwards every chat of the second kind is complete; its
-    lowest mark is the lowest id read, its highest mark is set only where it was null. A chat found empty stays null and
-    is not read again, unless ``revive_empty``.
-    """
-    if revive_empty:
-        empty = F.col("latest_message_id").isNull() & F.col("oldest_message_id").isNull()
-        state = state.withColumn("history_complete", F.col("history_complete") & ~empty)
-    done = F.coalesce("history_complete", F.lit(False))
-    rows = tail(messages, state.where(done)).withColumn("branch", F.lit("tail")).unionByName(
-        backfill(messages, state).withColumn("branch", F.lit("backfill"))
-    )
-    read = rows.groupBy(F.col("chat_id").alias("id")).agg(F.min("id").alias("_low"), F.max("id").alias("_high"))
-    joined = state.join(read, "id", "left")
-    after = joined.withColumns({
-        "oldest_message_id": F.when(done, F.col("oldest_message_id")).otherwise(F.coalesce("_low", "oldest_message_id")),
-        "latest_message_id": F.when(done, F.greatest("latest_message_id", "_high")).otherwise(F.coalesce("latest_message_id", "_high")),
-        "history_complete": F.lit(True),
-    }).drop("_low", "_high")
-    return rows, after
+    """:func:`advance` with the ``branch`` (tail or backfill) of each row."""
+    rows, after = advance(messages, state, revive_empty)
+    branch = F.when(_done(revive_empty), F.lit("tail")).otherwise(F.lit("backfill")).alias("branch")
+    return rows.join(state.select(F.col("id").alias("chat_id"), branch), "chat_id", "left"), after

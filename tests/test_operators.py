@@ -70,6 +70,24 @@ def test_zero_and_null_marks_read_all(spark):
     assert sync.backfill(m, s).count() == 2
 
 
+def small_beside_unknown(spark):
+    """Messages that Spark takes for small, as it does with keys of wide rows, and state of unknown size."""
+    m = spark.range(1, 16).selectExpr("id div 100 + 1 as chat_id", "id", "id as arrival_seq")
+    return m, lambda *s: spark.createDataFrame([(*s, 1)], STATE)
+
+
+def broadcast_left(df):
+    return "BuildLeft" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_synchronising_never_broadcasts_messages(spark):
+    m, state_of = small_beside_unknown(spark)
+    for s, want in (((1, None, None, "a", True, 2, 10), (2, 15)), ((1, None, None, "a", False, 6, 9), (1, 9))):
+        rows, after = sync.synchronise(m, state_of(*s))
+        assert not broadcast_left(rows) and not broadcast_left(after)
+        assert [(r.oldest_message_id, r.latest_message_id) for r in after.collect()] == [want]
+
+
 def test_batches_of_fixed_size(spark):
     m = messages(spark, *[(1, i, i) for i in range(1, 24)])
     got = [(r.batch_no, r.n_rows, r.oldest_message_id, r.latest_message_id, r.counter) for r in sync.batch_summary(m, 10).orderBy("batch_no").collect()]
