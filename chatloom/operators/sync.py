@@ -41,10 +41,8 @@ def tail(messages: DataFrame, state: DataFrame) -> DataFrame:
 
 def backfill(messages: DataFrame, state: DataFrame) -> DataFrame:
     """Messages below the lowest known id of chats whose history is incomplete; mark 0 or null means from the newest."""
-    marks = state.where(~F.coalesce("history_complete", F.lit(False))).select(
-        F.col("id").alias("chat_id"), F.coalesce("oldest_message_id", F.lit(0)).alias("_mark")
-    )
-    return messages.join(marks, "chat_id").where((F.col("_mark") == 0) | (F.col("id") < F.col("_mark"))).drop("_mark")
+    marks = state.where(~F.coalesce("history_complete", F.lit(False))).select(F.col("id").alias("_chat"), _low())
+    return _judged(messages, marks, _below())
 
 
 def numbered_batches(messages: DataFrame, batch_size: int) -> DataFrame:

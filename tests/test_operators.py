@@ -88,6 +88,12 @@ def test_synchronising_never_broadcasts_messages(spark):
         assert [(r.oldest_message_id, r.latest_message_id) for r in after.collect()] == [want]
 
 
+def test_backfill_never_broadcasts_messages(spark):
+    m, state_of = small_beside_unknown(spark)
+    rows = sync.backfill(m, state_of(1, None, None, "a", False, 4, 9))
+    assert not broadcast_left(rows) and sorted(r.id for r in rows.collect()) == [1, 2, 3]
+
+
 def test_batches_of_fixed_size(spark):
     m = messages(spark, *[(1, i, i) for i in range(1, 24)])
     got = [(r.batch_no, r.n_rows, r.oldest_message_id, r.latest_message_id, r.counter) for r in sync.batch_summary(m, 10).orderBy("batch_no").collect()]
