@@ -35,8 +35,8 @@ def _judged(messages: DataFrame, marks: DataFrame, kept: Column) -> DataFrame:
 
 def tail(messages: DataFrame, state: DataFrame) -> DataFrame:
     """Messages above their chat's highest known id; a chat without a mark has no tail."""
-    marks = state.select(F.col("id").alias("chat_id"), F.col("latest_message_id").alias("_mark")).where("_mark is not null")
-    return messages.join(marks, "chat_id").where(F.col("id") > F.col("_mark")).drop("_mark")
+    marks = state.select(F.col("id").alias("_chat"), F.col("latest_message_id").alias("_high")).where("_high is not null")
+    return _judged(messages, marks, _above())
 
 
 def backfill(messages: DataFrame, state: DataFrame) -> DataFrame:

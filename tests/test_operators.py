@@ -94,6 +94,12 @@ def test_backfill_never_broadcasts_messages(spark):
     assert not broadcast_left(rows) and sorted(r.id for r in rows.collect()) == [1, 2, 3]
 
 
+def test_tail_never_broadcasts_messages(spark):
+    m, state_of = small_beside_unknown(spark)
+    rows = sync.tail(m, state_of(1, None, None, "a", True, 4, 13))
+    assert not broadcast_left(rows) and sorted(r.id for r in rows.collect()) == [14, 15]
+
+
 def test_batches_of_fixed_size(spark):
     m = messages(spark, *[(1, i, i) for i in range(1, 24)])
     got = [(r.batch_no, r.n_rows, r.oldest_message_id, r.latest_message_id, r.counter) for r in sync.batch_summary(m, 10).orderBy("batch_no").collect()]
